@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexloom.llm import langid, packing
+from lexloom.llm import jaccard_join, langid, packing
 
 QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 #: DuckDB SQL for the queries that it can express on whole tables.
