@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexloom.llm import jaccard_join, langid, packing
+from lexloom.llm import jaccard_join, langid, line_dedup, packing
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
