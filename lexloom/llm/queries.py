@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexloom.llm import jaccard_join, langid, line_dedup, packing
+from lexloom.llm import jaccard_join, langid, line_dedup, packing, suffix_dedup
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
