@@ -102,7 +102,10 @@ class Model:
 def train(labelled: DataFrame, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the ``limit`` labelled rows with the smallest hashes of their ids; at most that many languages."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = rows.orderBy(F.xxhash64(id_col), F.col(id_col), F.col(lang_col)).limit(limit).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # Only hashes are ordered; texts are read again up to the last hash taken.
+    order = F.xxhash64(id_col, text_col)
+    last = rows.select(order.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    sample = rows.where(order <= F.lit(last)).limit(limit).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = core.arrow(sample.repartition(16, F.xxhash64("text")), _count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = counts.column("lang").to_pylist()
     languages = sorted(set(names))

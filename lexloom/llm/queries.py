@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexloom.llm import jaccard_join, langid, line_dedup, packing, suffix_dedup
+from lexloom.llm import jaccard_join, langid, line_dedup, media, mixing, packing, suffix_dedup
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_media": media.op6_media,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
