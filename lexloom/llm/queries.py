@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexloom.llm import jaccard_join, langid, line_dedup, media, mixing, packing, suffix_dedup
+from lexloom.llm import jaccard_join, langid, line_dedup, media, mixing, packing, suffix_dedup, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_media": media.op6_media,
@@ -15,4 +16,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that it can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.OP1_SQL}
