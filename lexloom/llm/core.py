@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.cluster import ship
 
@@ -172,7 +173,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+#: Stands for a null id inside the operators, so that joins keep its rows.
+NO_ID = -(1 << 63)
+
+
+def key(column: str) -> Column:
+    """The id column as a long that is never null."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def shown(*columns: str) -> list[Column]:
+    """Id columns with nulls put back."""
+    return [F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in columns]
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package at hand on every executor."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

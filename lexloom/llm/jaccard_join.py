@@ -277,7 +277,7 @@ def _verify(words: int, threshold: float):
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_class (smallest id with the same shingles), n_copies, class_id (smallest id
     that is reached over links) and n_links (other classes at or above the threshold)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(core.key(id_col).alias("id"), F.col(text_col).alias("text"))
     # Texts without words are told apart by id: their set key is taken from it.
     sketch = core.arrow(rows, _sketch(words), "id long, k1 long, k2 long, size int, sig binary")
     sketch = core.stored(sketch.withColumn("k1", F.when(F.col("size") > 0, F.col("k1")).otherwise(F.xxhash64("id"))))
@@ -294,7 +294,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs
     count = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     per_class = count.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n_links", F.col("component").alias("near"))
     joined = classes.select("id", "rep", "n_copies").join(per_class, "rep", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), "n_copies", F.coalesce("near", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), "n_copies", F.coalesce("near", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).select(*core.shown("doc_id", "text_class"), "n_copies", *core.shown("class_id"), "n_links")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

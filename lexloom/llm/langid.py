@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexloom.llm import core
 
@@ -193,7 +194,6 @@ def _label(model: Model, penalty: float):
         letters = total > 0
         for i in np.flatnonzero(~letters):
             letters[i] = any(c.isalpha() for c in texts[i].as_py() or "")
-        flat = np.bincount(row, weights=(emit[np.arange(len(path)), path] if len(path) else None), minlength=rows) if len(path) else np.zeros(rows)
         pred, score = [], []
         for i in range(rows):
             if not letters[i] or not count:
@@ -202,7 +202,6 @@ def _label(model: Model, penalty: float):
             else:
                 pred.append(model.languages[top[i]])
                 score.append(float(share[i, top[i]] / total[i]) if total[i] else 1.0 / count)
-        del flat
         if len(path) and count:
             new = np.ones(len(path), bool)
             new[1:] = (path[1:] != path[:-1]) | (row[1:] != row[:-1])
@@ -216,7 +215,7 @@ def _label(model: Model, penalty: float):
             runs = pa.array([], out_type.value_type)
             runs_of = np.zeros(rows, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs_of)]).astype(np.int32)), runs)
-        return pa.RecordBatch.from_arrays([keys, pa.array(pred, pa.string()), pa.array(score, pa.float64()), lists], names=["doc_id", "lang_pred", "score", "spans"])
+        return pa.RecordBatch.from_arrays([keys, pa.array(pred, pa.string()), pa.array(score, pa.float64()), lists], names=["kept", "lang_pred", "score", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,9 +231,14 @@ def _label(model: Model, penalty: float):
     return run
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and the labelled spans (byte offsets) of each text."""
-    return core.arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), _label(model, penalty), "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep``, lang_pred, score and the labelled spans (byte offsets) of each text."""
+    rows = docs.select(F.struct(F.lit(0), *keep).alias("kept"), F.col(text_col).alias("text"))
+    schema = StructType().add("kept", rows.schema["kept"].dataType)
+    for field in StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"):
+        schema.add(field)
+    out = core.arrow(rows, _label(model, penalty), schema)
+    return out.select(*(F.col("kept")[c].alias(c) for c in keep), "lang_pred", "score", "spans")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexloom.llm import core
 
@@ -161,7 +162,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["n_lines"].append(len(lines))
                 out["n_removed"].append(len(lines) - len(left))
                 out["text"].append(text if len(left) == len(lines) else "\n".join(left))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
+            done = pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*done.columns, part.column(3)], names=[*done.schema.names, "kept"])
 
 
 def first_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,13 +199,16 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
     return settled.unionByName(found)
 
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_removed and the text of the lines that stay."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, the text of the lines that stay, and the columns of ``keep``."""
+    rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     sets = first_lines(rows, threshold)
     kept = sets.select("doc_id", "line").join(later_matches(rows, sets, threshold), ["doc_id", "line"], "left_anti")
     lists = kept.groupBy("doc_id").agg(F.collect_list("line").alias("keep"))
-    return core.arrow(rows.join(lists, "doc_id", "left").select("doc_id", "text", "keep"), _kept, "doc_id long, n_lines long, n_removed long, text string")
+    kept = rows.schema["kept"].dataType
+    schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, text string").add("kept", kept)
+    out = core.arrow(rows.join(lists, "doc_id", "left").select("doc_id", "text", "keep", "kept"), _kept, schema)
+    return out.select(*core.shown("doc_id"), "n_lines", "n_removed", "text", *(F.col("kept")[c].alias(c) for c in keep))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,9 +211,10 @@ def _packed(limit: int):
 def pack(docs: DataFrame, path: str, limit: int = LIMIT, group: int = GROUP, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where each run of a document's ids stands in which sequence."""
     groups = max(1, -(-docs.count() // group))
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("group"))
+    dealt = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(core.key(id_col)), F.lit(groups)).alias("group"))
     pieces = core.arrow(dealt, _pieces(path, limit, end_id), "group long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    return core.arrow(pieces.repartition("group").sortWithinPartitions("group", "doc_id", "start"), _packed(limit), PACKED)
+    packed = core.arrow(pieces.repartition("group").sortWithinPartitions("group", "doc_id", "start"), _packed(limit), PACKED)
+    return packed.withColumn("doc_id", *core.shown("doc_id"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,9 +277,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the bytes that stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Rows that share an id are told apart by their texts.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("part"), text.alias("text"))
+    rows = docs.select(core.key(id_col).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("part"), text.alias("text"))
     found = intervals(rows, window, hot).groupBy("doc_id", "part").agg(F.collect_list(F.struct("from", "to")).alias("found"))
-    return core.arrow(rows.join(found, ["doc_id", "part"], "left").select("doc_id", "text", "found"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = core.arrow(rows.join(found, ["doc_id", "part"], "left").select("doc_id", "text", "found"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("doc_id", *core.shown("doc_id"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
