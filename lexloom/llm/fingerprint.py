@@ -15,6 +15,7 @@ of their texts, and a single row is its own next document; an empty table gives
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ BITS = 8
 PROBES = 24
 #: Ranges of ids that are ordered on their own; the number does not depend on the input.
 RANGES = 512
-_SHIFT = 63 - 7
-_MAX = (1 << 63) - 1
 
 
 def _sequences(bins: int, probes: int) -> list[list[int]]:
@@ -75,8 +74,8 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, words: int = WORDS, b
 
 
 def packed(fingerprint: Column, bins: int = BINS, bits: int = BITS) -> Column:
-    digits = F.transform(F.coalesce(fingerprint, F.array_repeat(F.lit(0), bins)), lambda x: F.lpad(F.lower(F.hex(x)), bits // 4, "0"))
-    return F.array_join(digits, "")
+    digits = F.array(*(F.lit(f"{x:0{bits // 4}x}") for x in range(1 << bits)))
+    return F.coalesce(F.array_join(F.transform(fingerprint, lambda x: F.get(digits, x)), ""), F.lit("0" * (bins * bits // 4)))
 
 
 def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column:
@@ -87,37 +86,32 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(both)
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
-    """Adds next_<c> of the following row by id, the first row's for the last.
+def with_next(rows: DataFrame, id_col: str, columns: list[str], enrich: Callable[[DataFrame], DataFrame], ranges: int = RANGES) -> DataFrame:
+    """``enrich(rows)`` with next_<c> of the following row by id, the first row's for the last.
 
     Ids are cut at quantiles into ``ranges`` ranges; each is ordered on its own, ended by a copy of the row that opens the next one.
     """
     spark = rows.sparkSession
     cuts = rows.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10000)).first()[0]
     cuts = sorted(set(cuts or []))
-    steps = max(1, len(cuts).bit_length())
-    padded = F.array(*map(F.lit, [*cuts, *[_MAX] * ((1 << steps) - 1 - len(cuts))])).cast("array<bigint>")
-    # Number of cuts below the id, by binary search.
-    place = F.lit(0)
-    for s in range(steps - 1, -1, -1):
-        place = place + F.when(F.get(padded, place + ((1 << s) - 1)) < F.col(id_col), 1 << s).otherwise(0)
-    placed = rows.withColumn("_range", place.cast("int"))
+    limits = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    placed = rows.withColumn("_range", F.size(F.filter(limits, lambda c: c < F.col(id_col))))
     heads = placed.groupBy("_range").agg(F.min(id_col).alias("head")).collect()  # one row for each range
     heads = sorted((r["_range"], r["head"]) for r in heads)
     follow = [(r, heads[(k + 1) % len(heads)][1]) for k, (r, _) in enumerate(heads)]
     known = spark.createDataFrame(follow, "to int, head bigint")
     opening = F.broadcast(known)  # no more rows than ranges
     ends = rows.join(opening, rows[id_col].eqNullSafe(opening["head"])).select(*rows.columns, F.col("to").alias("_range"), F.lit(1).alias("_end"))
-    both = placed.select(*rows.columns, "_range", F.lit(0).alias("_end")).unionByName(ends)
+    both = enrich(placed.select(*rows.columns, "_range", F.lit(0).alias("_end")).unionByName(ends))
     window = Window.partitionBy("_range").orderBy("_end", F.col(id_col).asc_nulls_first(), columns[0])
     lead = F.lead(F.struct(*columns)).over(window)
-    return both.withColumn("_next", lead).where("_end = 0").select(*rows.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    return both.withColumn("_next", lead).where("_end = 0").drop("_range", "_end").select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, edited and the fingerprints (arrays of bins) of the text, the edited text and the next document's text."""
     rows = docs.select(core.key(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "bins"), "doc_id", ["text", "bins"])
+    rows = with_next(rows, "doc_id", ["text", "bins"], lambda r: with_fingerprint(r, "text", "bins"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).drop("next_text")
