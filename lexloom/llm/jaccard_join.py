@@ -35,7 +35,7 @@ HASHES = 64
 BRANCH = 2
 DEPTH = 4
 RUNS = 8
-SMALL = 256
+SMALL = 4096
 SLACK = 0.2
 #: Rows of a block at the deepest level, and classes of a block in verification.
 BLOCK = 4096
