@@ -15,7 +15,7 @@ of their texts, and a single row is its own next document; an empty table gives
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ def _sequences(bins: int, probes: int) -> list[list[int]]:
     return [[draw.randrange(bins) for _ in range(bins)] for _ in range(probes)]
 
 
+def _literal(values: Iterable) -> Column:
+    """An array of constants, in one expression."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """63-bit hashes of the text's shingles."""
     found = F.filter(F.split(text, "[ \\x09-\\x0D]+"), lambda w: w != "")
@@ -53,7 +58,7 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, words: int = WORDS, b
     """Adds ``out``: the low bits of each bin as an array, or null for a text without words."""
     codes, shingles = shingle_hashes(F.col(text), words)
     shift = 63 - (bins - 1).bit_length()
-    marks = F.array(*(F.lit(((b + 1) << shift) - 1) for b in range(bins)))
+    marks = _literal(((b + 1) << shift) - 1 for b in range(bins))
     rows = rows.withColumn("_codes", codes).withColumn("_hashes", shingles(F.col("_codes"))).drop("_codes")
     # With each bin's largest hash mixed in, the first of every bin in order is its smallest; the mark itself says empty.
     rows = rows.withColumn("_sorted", F.sort_array(F.concat("_hashes", marks)))
@@ -62,7 +67,7 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, words: int = WORDS, b
     mark = F.lit((1 << shift) - 1)
     rows = rows.withColumn("_bins", F.transform("_least", lambda x: F.when(x.bitwiseAND(mark) == mark, F.lit(None).cast("bigint")).otherwise(x))).drop("_least")
     own = F.col("_bins")
-    tables = [F.array(*map(F.lit, t)) for t in _sequences(bins, probes)]
+    tables = [_literal(t) for t in _sequences(bins, probes)]
 
     def fill(i: Column) -> Column:
         rest = F.filter(own, lambda x: x.isNotNull())
@@ -74,7 +79,7 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, words: int = WORDS, b
 
 
 def packed(fingerprint: Column, bins: int = BINS, bits: int = BITS) -> Column:
-    digits = F.array(*(F.lit(f"{x:0{bits // 4}x}") for x in range(1 << bits)))
+    digits = _literal(f"'{x:0{bits // 4}x}'" for x in range(1 << bits))
     return F.coalesce(F.array_join(F.transform(fingerprint, lambda x: F.get(digits, x)), ""), F.lit("0" * (bins * bits // 4)))
 
 
@@ -94,7 +99,7 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], enrich: Callable
     spark = rows.sparkSession
     cuts = rows.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10000)).first()[0]
     cuts = sorted(set(cuts or []))
-    limits = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    limits = _literal(cuts).cast("array<bigint>")
     placed = rows.withColumn("_range", F.size(F.filter(limits, lambda c: c < F.col(id_col))))
     heads = placed.groupBy("_range").agg(F.min(id_col).alias("head")).collect()  # one row for each range
     heads = sorted((r["_range"], r["head"]) for r in heads)
