@@ -7,6 +7,7 @@ a worker holds a few arrays over about ``CHUNK`` bytes (or over one longer text)
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -166,10 +167,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query that has ended are removed: its result is written and needs them no more."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives the loss of executors."""
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with released(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -152,7 +152,8 @@ def write(pages: DataFrame, path: str, dedup: int = DEDUP, segment: int = SEGMEN
     first = rows.where(F.octet_length("payload") >= dedup).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     told = rows.join(first, "digest", "left").select("id", "uri", "payload", "digest", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers"))
     blocks = core.arrow(told, _write(segment), "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE).text(path)
+    with core.released(pages.sparkSession):
+        blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE).text(path)
 
 
 READ = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("segmented", pa.bool_()), ("block", pa.binary())])
