@@ -6,13 +6,13 @@ threshold, and every line that matches an earlier line is removed, judged on the
 what is left.  Lines without words never match.
 
 Equal token sets are collapsed to the first line that has them.  Tokens of a set are ordered by
-rarity (documented table of ``RARITY`` counters over all texts, ties by hash), and sets that
-share a token of their prefixes are compared under length, positional and bitmap filters; a
-bitmap holds the parity of token hashes, so the bits in which two bitmaps differ are no more
-than the tokens in which the sets differ.  First every set is held against the earliest set of
-each of its prefix tokens, which settles clusters of near copies with a row for each member;
-only the sets left undecided are joined with all earlier ones.  What passes the filters is verified on
-the words of the lines themselves.
+rarity (a table of ``RARITY`` counters over all texts, ties by hash), and the sets that share a
+token of their prefixes meet under it; those of very frequent tokens meet in pairs of blocks.  There, length, positional
+and bitmap filters are applied: a bitmap holds the parity of token hashes, so the bits in
+which two bitmaps differ are no more than the tokens in which the sets differ.  As one earlier match
+is enough, the ``MOST`` earliest candidates of a set in each group are verified first, on the words of the
+lines themselves, so clusters of near copies cost a few rows for each member; sets that stay
+undecided although they have more candidates are then held against all of them.
 
 Defined results: null and empty texts have one empty line, kept; a document whose lines are all
 removed has an empty text; repeated rows of one id count as lines of the same document, judged
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +35,12 @@ from lexloom.llm import core
 THRESHOLD = 0.8
 #: Counters of the rarity table, which every worker holds as one byte each.
 RARITY = 1 << 20
+#: Candidates of a set in one group that are verified first.
+MOST = 4
+#: Sets of a frequent token that meet in one group, group size up to which groups are compared side by side, entries held by a worker.
+BLOCK = 100_000
+LAGS = 48
+ROWS = 100_000
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray):
@@ -113,12 +119,115 @@ def _lines(table, threshold: float):
     return run
 
 
-def _similar(threshold: float, x: str, y: str) -> Column:
-    """Length, positional and bitmap filters on two index entries."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
-    left = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
-    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)) & (left >= need) & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - 2 * need)
+def _entries(table, threshold: float):
+    """Sets (doc_id, line, n, bits, prefix) -> an index entry for each prefix token and block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            ids, line, n, bits = (batch.column(i).to_numpy() for i in range(4))
+            prefix = batch.column(4)
+            offs = prefix.offsets.to_numpy().astype(np.int64)
+            token = prefix.values.to_numpy().view(np.uint64)[offs[0] : offs[-1]]
+            size = np.diff(offs)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(row)) - np.repeat(offs[:-1] - offs[0], size)
+            # A token's class bounds how many sets can have it; those of very frequent ones are dealt over pairs of blocks.
+            bound = 2.0 ** ((classes[(token & np.uint64(RARITY - 1)).astype(np.int64)] + 1) / 8)
+            blocks = np.maximum(1, np.ceil(bound / BLOCK)).astype(np.int64)
+            own = (core.mix(ids[row].view(np.uint64) * core._STEP[1] + line[row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            copy = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            low, high = np.minimum(own[copy], other), np.maximum(own[copy], other)
+            key = np.where(blocks[copy] == 1, token[copy], core.mix(token[copy] + core._STEP[2] * (low * (1 << 20) + high + 1).astype(np.uint64)))
+            row, at = row[copy], at[copy]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(line[row]), pa.array(n[row].astype(np.int64) << 32 | at), pa.array(bits[row])], names=["key", "doc_id", "line", "shape", "bits"])
+
+    return run
+
+
+def _filtered(n, m, at, to, x, y, threshold: float) -> np.ndarray:
+    """Length, positional and bitmap filters on index entries, side by side."""
+    need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
+    ok = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - to) >= need)
+    return ok & (np.bitwise_count(x ^ y) <= n + m - 2 * need)
+
+
+def _meetings(threshold: float, most: int | None):
+    """Sorted entries -> candidate pairs (later set, earlier set): for each set of a group its ``most`` earliest ones that
+    pass the filters, and whether there are more (all of them if ``most`` is None)."""
+
+    def pairs(n, at, bits) -> tuple[np.ndarray, np.ndarray]:
+        later, earlier = [], []
+        for s in range(0, len(n), 256):
+            e = min(len(n), s + 256)
+            x = np.arange(s, e)[:, None]
+            y = np.arange(e)[None, :]
+            hit = (y < x) & _filtered(n[s:e, None], n[None, :e], at[s:e, None], at[None, :e], bits[s:e, None], bits[None, :e], threshold)
+            a, b = np.nonzero(hit)
+            later.append(a + s)
+            earlier.append(b)
+        return np.concatenate(later), np.concatenate(earlier)
+
+    def solve(table: pa.Table) -> pa.RecordBatch | None:
+        key, ids, line, shape = (table.column(i).to_numpy() for i in range(4))
+        bits = table.column(4).to_numpy().view(np.uint64)
+        n, at = shape >> 32, shape & 0xFFFFFFFF
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([first, [len(key)]]))
+        inner = np.arange(len(key)) - np.repeat(first, size)
+        wide = np.repeat(size, size) > LAGS
+        later, earlier = [], []
+        live = np.flatnonzero(~wide & (inner > 0))
+        lag = 1
+        while len(live):
+            y = live - lag
+            hit = _filtered(n[live], n[y], at[live], at[y], bits[live], bits[y], threshold)
+            later.append(live[hit])
+            earlier.append(y[hit])
+            lag += 1
+            live = live[inner[live] >= lag]
+        for f, c in zip(first[size > LAGS].tolist(), size[size > LAGS].tolist(), strict=True):
+            a, b = pairs(n[f : f + c], at[f : f + c], bits[f : f + c])
+            later.append(a + f)
+            earlier.append(b + f)
+        later, earlier = np.concatenate(later or [live]), np.concatenate(earlier or [live])
+        same = (ids[later] == ids[earlier]) & (line[later] == line[earlier])
+        later, earlier = later[~same], earlier[~same]
+        if not len(later):
+            return None
+        order = np.lexsort([earlier, later])
+        later, earlier = later[order], earlier[order]
+        start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
+        count = np.diff(np.concatenate([start, [len(later)]]))
+        place = np.arange(len(later)) - np.repeat(start, count)
+        keep = place < (most or len(later))
+        more = np.repeat(count, count) > (most or len(later))
+        later, earlier, more = later[keep], earlier[keep], more[keep]
+        return pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(line[later]), pa.array(ids[earlier]), pa.array(line[earlier]), pa.array(more)], names=["doc_id", "line", "doc_to", "line_to", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            # All groups but the last one of what is held are complete.
+            cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
+            if held and held[-1].column(0)[-1].as_py() != key[0] or cut:
+                done = [*held, batch.slice(0, cut)] if cut else held
+                rows = sum(b.num_rows for b in done)
+                if rows >= ROWS or not cut:
+                    if (out := solve(pa.Table.from_batches(done).combine_chunks())) is not None:
+                        yield out
+                    held = [batch.slice(cut)]
+                    continue
+            held.append(batch)
+        if held and (out := solve(pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield out
+
+    return run
 
 
 def _verified(threshold: float):
@@ -166,15 +275,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*done.columns, part.column(3)], names=[*done.schema.names, "kept"])
 
 
-def first_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct token sets at their first lines: doc_id, line, n, bits, prefix."""
-    table = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     lines = core.arrow(docs.select("doc_id", "text"), _lines(table, threshold), "k1 long, k2 long, doc_id long, line int, n int, bits long, prefix array<long>")
     first = F.min(F.struct("doc_id", "line", "n", "bits", "prefix")).alias("first")
     return core.stored(lines.groupBy("k1", "k2").agg(first).select("first.*"))
 
 
-def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def later_matches(docs: DataFrame, sets: DataFrame, table, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line) of the sets that match a set that begins earlier."""
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -186,24 +294,30 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
         return core.stored(core.arrow(both.select("doc_id", "line", "words", "other"), _verified(threshold), "doc_id long, line int").distinct())
 
     # Sets of up to three words match equal ones only, which are collapsed already.
-    entries = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1).select("doc_id", "line", F.posexplode("prefix").alias("at", "token"), "n", "bits")
-    # The earliest set of each token, settled with partial aggregation, so that hot tokens are no burden.
-    entry = F.struct("doc_id", "line", "n", "at", "bits")
-    leaders = entries.groupBy("token").agg(F.min(entry).alias("y"), F.count("*").alias("rows")).where("rows > 1").select("token", "y")
-    held = entries.select("token", entry.alias("x"))
-    led = held.join(leaders, "token").where((F.struct("x.doc_id", "x.line") > F.struct("y.doc_id", "y.line")) & _similar(threshold, "x", "y"))
-    settled = check(led.select(F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), F.col("y.doc_id").alias("doc_to"), F.col("y.line").alias("line_to")))
-    open_entries = entries.join(settled, ["doc_id", "line"], "left_anti").select("token", entry.alias("x"))
-    rest = open_entries.join(held.select("token", F.col("x").alias("y")), "token").where((F.struct("x.doc_id", "x.line") > F.struct("y.doc_id", "y.line")) & _similar(threshold, "x", "y"))
-    found = check(rest.select(F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), F.col("y.doc_id").alias("doc_to"), F.col("y.line").alias("line_to")))
-    return settled.unionByName(found)
+    large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1).select("doc_id", "line", "n", "bits", "prefix")
+    names = "doc_id long, line int, doc_to long, line_to int, more boolean"
+
+    def meet(entries: DataFrame, most: int | None) -> DataFrame:
+        return core.stored(core.arrow(entries.repartition("key").sortWithinPartitions("key", "doc_id", "line"), _meetings(threshold, most), names))
+
+    entries = core.arrow(large, _entries(table, threshold), "key long, doc_id long, line int, shape long, bits long")
+    near = meet(entries, MOST)
+    settled = check(near.drop("more"))
+    # Sets that none of their first candidates settles, where there are more, meet all others of their groups.
+    open_ = core.stored(near.where("more").select("doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"))
+    if not open_.limit(1).count():
+        return settled
+    keys = entries.join(open_, ["doc_id", "line"], "left_semi").select("key").distinct()
+    rest = meet(entries.join(keys, "key", "left_semi"), None).join(open_, ["doc_id", "line"], "left_semi")
+    return settled.unionByName(check(rest.drop("more")))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, the text of the lines that stay, and the columns of ``keep``."""
     rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
-    sets = first_lines(rows, threshold)
-    kept = sets.select("doc_id", "line").join(later_matches(rows, sets, threshold), ["doc_id", "line"], "left_anti")
+    table = docs.sparkSession.sparkContext.broadcast(rarity(rows))
+    sets = first_lines(rows, table, threshold)
+    kept = sets.select("doc_id", "line").join(later_matches(rows, sets, table, threshold), ["doc_id", "line"], "left_anti")
     lists = kept.groupBy("doc_id").agg(F.collect_list("line").alias("keep"))
     kept = rows.schema["kept"].dataType
     schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, text string").add("kept", kept)
