@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,12 @@ from pyspark.sql import SparkSession
 _SENT: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder name in the shared spark.checkpoint.dir; a temporary one only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")
+    return f"{root.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once for each application."""
     app = spark.sparkContext.applicationId

@@ -20,6 +20,7 @@ def verified(quote: Column, source: Column) -> Column:
     """Whether the quote's fragments stand in the source, one after the other; short ones count only alone."""
     parts = fragments(quote)
     text = T.folded(source)
+    # A fold over fragments: most quotes are one, so the source is folded once.
     zero = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
@@ -72,12 +73,14 @@ def contained(quotes: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
     Whole words inside a verbatim quote stand in the source too, so only pairs that meet in the index are compared.
     """
 
-    def grams(c: Column) -> Column:
-        w = F.split(T.folded(c), " ")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - words + 1)), lambda i: F.array_join(F.slice(w, i, words), " "))
+    def with_grams(rows: DataFrame, text: str) -> DataFrame:
+        # Words and runs are columns of their own, as lambdas would fold the text again for every run.
+        rows = rows.withColumn("_w", F.split(T.folded(F.col(text)), " "))
+        last = F.greatest(F.lit(1), F.size("_w") - words + 1)
+        return rows.withColumn("_g", F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("_w", i, words), " "))).drop("_w")
 
-    probe = quotes.select("quote_id", "quote", F.get(grams(F.col("quote")), F.least(F.lit(1), F.size(grams(F.col("quote"))) - 1)).alias("gram"))
-    index = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("source")))).alias("gram"))
+    probe = with_grams(quotes, "quote").select("quote_id", "quote", F.get("_g", F.least(F.lit(1), F.size("_g") - 1)).alias("gram"))
+    index = with_grams(docs, "source").select("doc_id", F.explode(F.array_distinct("_g")).alias("gram"))
     hits = probe.join(index, "gram").select("quote_id", "quote", "doc_id")
     return hits.join(docs, "doc_id")
 

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexloom.functions import rules as R
 from lexloom.functions import text as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 

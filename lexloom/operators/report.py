@@ -94,6 +94,14 @@ def verdict(differences: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("favours", F.when(F.col("worse") > F.col("better"), "a").when(F.col("better") > F.col("worse"), "b"))
 
 
+#: What a comparison comes to, in this package's words, by the side it favours.
+VERDICTS = {"a": "The first draft treats you better.", "b": "The second draft treats you better.", "same": "Both drafts say the same.", "open": "Neither draft is better for you."}
+
+
+def verdict_sentence(favours: Column, differences: Column) -> Column:
+    return F.when(favours == "a", VERDICTS["a"]).when(favours == "b", VERDICTS["b"]).when(differences == 0, VERDICTS["same"]).otherwise(VERDICTS["open"])
+
+
 def difference_order(differences: DataFrame, key: str) -> DataFrame:
     rank = F.when(F.col("direction") == "worse-for-you", 0).when(F.col("direction") == "better-for-you", 1).otherwise(2)
     return differences.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(rank, F.coalesce("idx_a", "idx_b"), "kind", "idx_b")))

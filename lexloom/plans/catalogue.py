@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.cluster import scratch
 from lexloom.functions import rules as R
 from lexloom.functions import text as T
 from lexloom.operators import align, ask, consistency, export, grounding, guard, intake, normalize, redact, replies, report, retrieve, segment
 from lexloom.plans import sql as S
 from lexloom.sources import contracts as C
+from lexloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -338,6 +340,14 @@ def compare_verdict(spark, sf_dir):
     return report.verdict(_explained(spark, sf_dir), "k")
 
 
+@query(f"""{_EX}, vd as (select k, count(*) as n, count(*) filter (where grounded and direction = 'better-for-you') as better, count(*) filter (where grounded and direction = 'worse-for-you') as worse from ex2 group by k)
+    select o_orderkey as k, case when worse > better then '{report.VERDICTS['a']}' when better > worse then '{report.VERDICTS['b']}' when coalesce(n, 0) = 0 then '{report.VERDICTS['same']}' else '{report.VERDICTS['open']}' end as sentence from orders left join vd on k = o_orderkey""")
+def verdict_sentence(spark, sf_dir):
+    told = report.verdict(_explained(spark, sf_dir), "k").withColumn("n", F.col("better") + F.col("worse") + F.col("same"))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).join(told, "k", "left")
+    return rows.select("k", report.verdict_sentence(F.col("favours"), F.coalesce("n", F.lit(0))).alias("sentence"))
+
+
 # Consistency
 
 
@@ -508,6 +518,13 @@ def ask_pipeline(spark, sf_dir):
     return ask.best_of(_answers(consulted, "k % 3 = 0"), _answers(consulted, "k % 2 = 0"), ["k"]).select("k", "answered", "cited_idx")
 
 
+@query(f"""{_GA} select k, md5(string_agg(concat('CLAUSE ', cs.idx, coalesce(' (numbered "' || nullif(cl.lab, '') || '")', ''), chr(10), '<<<CC_', left(sha256(concat(cast(k as varchar), '|', 'seed')), 24), chr(10), cs.text, chr(10), 'CC_', left(sha256(concat(cast(k as varchar), '|', 'seed')), 24), '>>>'), chr(10) || chr(10) order by rank)) as digest
+    from cs join cl using (k, idx) group by k""")
+def prompt_blocks(spark, sf_dir):
+    rows = _consulted(spark, sf_dir).join(_clauses(spark, sf_dir).select("k", "idx", "label"), ["k", "idx"])
+    return guard.clause_blocks(rows, ["k"], "rank", guard.nonce(F.col("k"), F.lit("seed"))).select("k", F.md5("prompt").alias("digest"))
+
+
 # Cache and framing
 
 
@@ -557,3 +574,23 @@ def sse_parse(spark, sf_dir):
 def markdown_export(spark, sf_dir):
     an = _analyses(spark, sf_dir)
     return export.markdown(an, report.questions(an, "k"), report.obligations(an, "k"), "k").select("k", F.md5("markdown").alias("digest"))
+
+
+# Streams
+
+
+@query(ORACLE_SQL["segment_clauses"])
+def stream_clauses(spark, sf_dir):
+    folder = scratch(spark)
+    _safe(spark, sf_dir).select("k", "text").write.parquet(f"{folder}/in")
+    streams.write_clauses(streams.documents(spark, f"{folder}/in", "k long, text string"), ["k"], f"{folder}/out", f"{folder}/check").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("k", "idx", "label", "text")
+
+
+@query("select distinct user_id from events")
+def stream_dedupe(spark, sf_dir):
+    folder = scratch(spark)
+    _t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{folder}/in")
+    seen = streams.first_seen(streams.documents(spark, f"{folder}/in", "user_id long, ts timestamp"), ["user_id"], "ts")
+    seen.writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id")
