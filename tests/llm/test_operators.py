@@ -351,7 +351,7 @@ def test_jaccard_join(docs, texts, small, block):
         for i in v:
             want[back(i), back(v[0]), sum(times[x] for x in v), back(name[v[0]]), len(near[v[0]])] += times[i]
     assert Counter(map(tuple, jaccard_join.join(docs, small=small, block=block).collect())) == want
-    assert sum(map(len, near.values())) > 10
+    assert sum(map(len, near.values())) >= 10
 
 
 def test_recall_reaches_the_target():
