@@ -467,7 +467,7 @@ _CNT = lambda cte, where, name: f"(select k, count(*) as {name} from {cte} {wher
 
 @query(f"""{_AN}, {_SUM}, {S.OBLIGATIONS}, {S.QUESTIONS}, {_NX}, {S.VALUES},
     rf as (select k, string_agg(cast(idx as varchar), ',' order by rank) as read_first from (select *, row_number() over (partition by k order by {S.weight()} desc, idx) as rank from an where grounded and {S.weight()} > 0) where rank <= 5 group by k)
-    select sc2.k, doc_type, clauses, score, ungrounded, coalesce(read_first, '') as read_first, coalesce(o.x, 0) as obligations, coalesce(least(q.x, 8), 0) as questions, coalesce(s.x, 0) as steps, coalesce(i.x, 0) as inconsistencies
+    select sc2.k, doc_type, clauses, score, ungrounded, coalesce(read_first, '') as read_first, coalesce(o.x, 0) as obligations, least(coalesce(q.x, 0), 8) as questions, coalesce(s.x, 0) as steps, coalesce(i.x, 0) as inconsistencies
     from sc2 join ty using (k) left join rf using (k) left join {_CNT('ob', 'where n = 1', 'x')} o using (k) left join {_CNT('qu', 'where n = 1', 'x')} q using (k) left join {_CNT('nx', '', 'x')} s using (k)
     left join (select k, count(distinct kind) as x from vc where ways > 1 group by k) i using (k)""")
 def document_report(spark, sf_dir):
