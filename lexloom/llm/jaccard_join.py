@@ -287,7 +287,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs
     parts = linking.components(candidates(reps, threshold, runs, small=small))
     sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")), "component")
     dealt = _blocks(sized.withColumnRenamed("id", "rep"), "component", "n", block, "rep")
-    held = dealt.join(rows.withColumnRenamed("id", "rep"), "rep").select("component", "i", "j", "own", "rep", "text")
+    # Texts are dealt by id at every size; the plan does not turn on how many candidates there are.
+    held = dealt.join(rows.withColumnRenamed("id", "rep").hint("merge"), "rep").select("component", "i", "j", "own", "rep", "text")
     found = core.arrow(held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "rep"), _verify(words, threshold), "rep long, near long, n_links long")
     found = core.stored(found)
     final = linking.components(found.select(F.col("rep").alias("u"), F.col("near").alias("v")))
