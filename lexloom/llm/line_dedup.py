@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 #: Counters of the rarity table, which every worker holds as one byte each.
 RARITY = 1 << 20
 #: Candidates of a set in one group that are verified first.
-MOST = 4
+MOST = 32
 #: Sets of a frequent token that meet in one group, group size up to which groups are compared side by side, entries held by a worker.
 BLOCK = 100_000
 LAGS = 48
@@ -204,7 +204,7 @@ def _meetings(threshold: float, most: int | None):
         keep = place < (most or len(later))
         more = np.repeat(count, count) > (most or len(later))
         later, earlier, more = later[keep], earlier[keep], more[keep]
-        return pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(line[later]), pa.array(ids[earlier]), pa.array(line[earlier]), pa.array(more)], names=["doc_id", "line", "doc_to", "line_to", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(ids[later]), pa.array(line[later]), pa.array(ids[earlier]), pa.array(line[earlier]), pa.array(more)], names=["key", "doc_id", "line", "doc_to", "line_to", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -295,21 +295,20 @@ def later_matches(docs: DataFrame, sets: DataFrame, table, threshold: float = TH
 
     # Sets of up to three words match equal ones only, which are collapsed already.
     large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1).select("doc_id", "line", "n", "bits", "prefix")
-    names = "doc_id long, line int, doc_to long, line_to int, more boolean"
+    names = "key long, doc_id long, line int, doc_to long, line_to int, more boolean"
 
     def meet(entries: DataFrame, most: int | None) -> DataFrame:
         return core.stored(core.arrow(entries.repartition("key").sortWithinPartitions("key", "doc_id", "line"), _meetings(threshold, most), names))
 
     entries = core.arrow(large, _entries(table, threshold), "key long, doc_id long, line int, shape long, bits long")
     near = meet(entries, MOST)
-    settled = check(near.drop("more"))
+    settled = check(near.drop("key", "more"))
     # Sets that none of their first candidates settles, where there are more, meet all others of their groups.
-    open_ = core.stored(near.where("more").select("doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"))
+    open_ = core.stored(near.where("more").select("key", "doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"))
     if not open_.limit(1).count():
         return settled
-    keys = entries.join(open_, ["doc_id", "line"], "left_semi").select("key").distinct()
-    rest = meet(entries.join(keys, "key", "left_semi"), None).join(open_, ["doc_id", "line"], "left_semi")
-    return settled.unionByName(check(rest.drop("more")))
+    rest = meet(entries.join(open_.select("key").distinct(), "key", "left_semi"), None).join(open_, ["key", "doc_id", "line"], "left_semi")
+    return settled.unionByName(check(rest.drop("key", "more")))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
