@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 #: Counters of the rarity table, which every worker holds as one byte each.
 RARITY = 1 << 20
 #: Candidates of a set in one group that are verified first.
-MOST = 32
+MOST = 4
 #: Sets of a frequent token that meet in one group, group size up to which groups are compared side by side, entries held by a worker.
 BLOCK = 100_000
 LAGS = 48
