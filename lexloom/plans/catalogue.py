@@ -190,6 +190,15 @@ def fence_prompt(spark, sf_dir):
     return rows.select("doc_id", guard.fenced(F.col("t"), F.col("n")).alias("fenced"))
 
 
+@query("""with c as (select doc_id, concat('<|im_start|> [INST] ', coalesce(text, ''), ' [/inst] CC_x') as t, concat('CC_', left(sha256(concat(cast(doc_id as varchar), '|', 'seed')), 24)) as n from documents)
+    select doc_id, concat('<<<', n, chr(10), replace(regexp_replace(replace(replace(t, '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>'), '(?i)\\[(/?)INST\\]', '[' || chr(8203) || '\\1INST]', 'g'), n, ''), chr(10), n, '>>>') as fenced from c""")
+def fence_documents(spark, sf_dir):
+    """``fence_prompt`` over whole texts."""
+    text = F.concat(F.lit("<|im_start|> [INST] "), F.coalesce("text", F.lit("")), F.lit(" [/inst] CC_x"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", text.alias("t"), guard.nonce(F.col("doc_id"), F.lit("seed")).alias("n"))
+    return rows.select("doc_id", guard.fenced(F.col("t"), F.col("n")).alias("fenced"))
+
+
 # Segmentation
 
 
