@@ -1,8 +1,9 @@
 """A corpus pipeline of five operators over the documents table.
 
 Each stage takes all that its predecessor kept, written as Parquet and read again, and returns
-the columns of documents; the last returns the packed pieces.  Repeated ids count as one
-document from the third stage on; a document that the mix takes twice is packed twice.
+the columns of documents; the last returns the packed pieces.  Rows of one id (or without any)
+that hold equal texts count as one document from the third stage on, those with different texts
+as several; a document that the mix takes twice is packed twice.
 """
 
 from __future__ import annotations
@@ -35,16 +36,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class of near copies stays."""
-    first = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(core.key("doc_id").alias("key")).distinct()
-    keyed = docs.withColumn("key", core.key("doc_id")).join(first, "key", "left_semi")
-    return keyed.dropDuplicates(["key"]).select(*COLUMNS)
+    """One document, that with the smallest id, of each class of near copies stays; rows of one id are told apart by their texts."""
+    first = jaccard_join.joined(docs).where("id = lead.id and part = lead.part").select(F.col("id").alias("key"), "part").distinct()
+    keyed = docs.withColumn("key", core.key("doc_id")).withColumn("part", jaccard_join.part()).join(first, ["key", "part"], "left_semi")
+    return keyed.dropDuplicates(["key", "part"]).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes; documents without words stay once."""
-    mixed = mixing.mix(docs).select(core.key("doc_id").alias("key"), F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    taken = docs.withColumn("key", core.key("doc_id")).join(mixed.where("copies > 0"), "key")
+    # Rows of one id are told apart by their texts; near_copies left each of them once.
+    docs = docs.withColumn("key", F.xxhash64(core.key("doc_id"), "text"))
+    mixed = mixing.mix(docs, id_col="key").select(F.col("doc_id").alias("key"), F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    taken = docs.join(mixed.where("copies > 0"), "key")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -13,8 +13,9 @@ bucket emits all its pairs; the connected components of these edges hold all can
 inside them every pair of classes is verified on the whole shingle sets, in blocks.
 
 Defined results: null texts and texts without words have no shingles and link to nothing, each
-a class of its own; repeated rows and equal texts share a class; an empty table gives an empty
-result.  Ties in representatives go to the smallest id.
+a class of its own; repeated rows and equal texts share a class; rows that share an id or have none
+are told apart by their texts (64-bit hashes); an empty table gives an empty result.  Ties in
+representatives go to the smallest id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import core, linking
@@ -85,14 +86,14 @@ _ROOTS = core.seeded(13, 4096)
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, parts = batch.column(0), batch.column(2)
             for at, sets in core.shingle_sets(batch.column(1), words):
                 size = [len(s) for s in sets]
                 bound = np.concatenate([[0], np.cumsum(size)])
                 sig = signatures(np.concatenate(sets), bound)
                 keys = [core.set_key(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({
-                    "id": ids.slice(at, len(sets)), "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
+                    "id": ids.slice(at, len(sets)), "part": parts.slice(at, len(sets)), "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
                     "size": pa.array(size, pa.int32()), "sig": pa.array([r.tobytes() for r in sig], pa.binary()),
                 })
 
@@ -274,28 +275,46 @@ def _verify(words: int, threshold: float):
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_class (smallest id with the same shingles), n_copies, class_id (smallest id
-    that is reached over links) and n_links (other classes at or above the threshold)."""
-    rows = docs.select(core.key(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Texts without words are told apart by id: their set key is taken from it.
-    sketch = core.arrow(rows, _sketch(words), "id long, k1 long, k2 long, size int, sig binary")
-    sketch = core.stored(sketch.withColumn("k1", F.when(F.col("size") > 0, F.col("k1")).otherwise(F.xxhash64("id"))))
-    named = sketch.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+def part(text_col: str = "text") -> Column:
+    """Tells rows that share an id apart by their texts."""
+    return F.xxhash64(F.col(text_col))
+
+
+def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id and part of the row, rep and n_copies of its class, lead (the smallest id and part
+    that is reached over links) and n_links."""
+    rows = docs.select(core.key(id_col).alias("id"), F.col(text_col).alias("text"), part(text_col).alias("part"))
+    # Texts without words are told apart by id and part: their set key is taken from them.
+    sketch = core.arrow(rows, _sketch(words), "id long, part long, k1 long, k2 long, size int, sig binary")
+    sketch = core.stored(sketch.withColumn("k1", F.when(F.col("size") > 0, F.col("k1")).otherwise(F.xxhash64("id", "part"))))
+    # Inside, a class goes by a hash of its key, as several may share an id.
+    named = sketch.groupBy("k1", "k2").agg(F.min(F.struct("id", "part")).alias("first"), F.count("*").alias("n_copies"))
+    named = named.select("k1", "k2", F.xxhash64("k1", "k2").alias("node"), "first", "n_copies")
     classes = core.stored(sketch.join(named, ["k1", "k2"]).drop("k1", "k2"))
-    reps = classes.where("id = rep").dropDuplicates(["rep"])
-    parts = linking.components(candidates(reps, threshold, runs, small=small))
+    reps = classes.where("id = first.id and part = first.part").dropDuplicates(["node"])
+    parts = linking.components(candidates(reps.select(F.col("node").alias("rep"), "size", "sig"), threshold, runs, small=small))
     sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")), "component")
     dealt = _blocks(sized.withColumnRenamed("id", "rep"), "component", "n", block, "rep")
-    # Texts are dealt by id at every size; the plan does not turn on how many candidates there are.
-    held = dealt.join(rows.withColumnRenamed("id", "rep").hint("merge"), "rep").select("component", "i", "j", "own", "rep", "text")
+    dealt = dealt.join(reps.select(F.col("node").alias("rep"), "id", "part"), "rep")
+    # Texts are dealt by id and part at every size; the plan does not turn on how many candidates there are.
+    held = dealt.join(rows.hint("merge"), ["id", "part"]).select("component", "i", "j", "own", "rep", "text")
     found = core.arrow(held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "rep"), _verify(words, threshold), "rep long, near long, n_links long")
     found = core.stored(found)
     final = linking.components(found.select(F.col("rep").alias("u"), F.col("near").alias("v")))
     count = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    per_class = count.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n_links", F.col("component").alias("near"))
-    joined = classes.select("id", "rep", "n_copies").join(per_class, "rep", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), "n_copies", F.coalesce("near", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).select(*core.shown("doc_id", "text_class"), "n_copies", *core.shown("class_id"), "n_links")
+    linked = count.withColumnRenamed("rep", "node").join(final.withColumnRenamed("id", "node"), "node").join(reps.select("node", "first"), "node")
+    lead = linked.groupBy("component").agg(F.min("first").alias("lead"))
+    per_class = linked.join(lead, "component").select("node", "n_links", "lead")
+    out = classes.select("id", "part", "node", "first", "n_copies").join(per_class, "node", "left")
+    return out.select("id", "part", F.col("first.id").alias("rep"), "n_copies", F.coalesce("lead", "first").alias("lead"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_class (smallest id with the same shingles), n_copies, class_id (smallest id
+    that is reached over links) and n_links (other classes at or above the threshold)."""
+    out = joined(docs, threshold, words, runs, small, block, id_col, text_col)
+    out = out.select(F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), "n_copies", F.col("lead.id").alias("class_id"), "n_links")
+    return out.select(*core.shown("doc_id", "text_class"), "n_copies", *core.shown("class_id"), "n_links")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,18 @@ def test_jaccard_join(docs, texts, small, block):
     assert sum(map(len, near.values())) >= 10
 
 
+def test_jaccard_join_shared_ids(spark):
+    """Rows that share an id or have none keep their own links."""
+    draw = random.Random(12)
+    a, b, c, d = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(200)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, c), (None, ""), (None, " "), (7, a + " end"), (7, d), (9, b + " end"), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter([(None, None, 1, None, 1)] * 2 + [(None, None, 2, None, 0)] * 2 + [(None, None, 1, None, 0)] * 2 + [(7, 7, 1, None, 1), (7, 7, 1, 7, 0), (9, 9, 1, None, 1)])
+    assert Counter(map(tuple, jaccard_join.join(docs).collect())) == want
+    leads = jaccard_join.joined(docs).select("lead").distinct()
+    assert leads.count() == 6
+
+
 def test_recall_reaches_the_target():
     assert jaccard_join.recall() > 0.999
 

@@ -31,3 +31,14 @@ def test_copies_and_empty_texts(spark):
     kept = core.stored(P.language(spark, docs, SF))
     assert {1, 2}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == 38
     assert P.near_copies(spark, kept, SF).count() == 38 - 1
+
+
+def test_different_texts_without_ids_stay(spark):
+    words = [f"{x}{y}" for x in "abcdefgh" for y in ("ra", "ti", "kon", "lum")]
+    texts = [" ".join(f"{w}{i * k % 31}" for k, w in enumerate(words)) for i in range(1, 25)]
+    rows = [(None if i < 16 else 5, t, "x", "s", 0) for i, t in enumerate([*texts, texts[0] + " end", texts[3]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = core.stored(P.near_copies(spark, docs, SF))
+    assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    mixed = [r.text for r in P.mixture(spark, kept, SF).collect()]
+    assert all(mixed.count(t) <= 2 for t in texts) and len(texts) < len(mixed) <= 1.6 * len(texts)
