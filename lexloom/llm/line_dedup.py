@@ -1,8 +1,8 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join.
 
 Lines end at LF.  A line's tokens are its distinct words; a line matches an earlier one (by
-document id, then line number) if the Jaccard similarity of their token sets is at least the
-threshold, and every line that matches an earlier line is removed, judged on the input, not on
+document id, then, where rows share it, the hash of the text, then line number) if the Jaccard
+similarity of their token sets is at least the threshold, and every line that matches an earlier line is removed, judged on the input, not on
 what is left.  Lines without words never match.
 
 Equal token sets are collapsed to the first line that has them.  Tokens of a set are ordered by
@@ -15,8 +15,9 @@ lines themselves, so clusters of near copies cost a few rows for each member; se
 undecided although they have more candidates are then held against all of them.
 
 Defined results: null and empty texts have one empty line, kept; a document whose lines are all
-removed has an empty text; repeated rows of one id count as lines of the same document, judged
-once.  Tokens are told apart by 64-bit hashes in collapsing equal sets and by their bytes in
+removed has an empty text; repeated rows (one id, one text) count as one document, judged once;
+rows that share an id or have none, but hold different texts, are told apart by 64-bit hashes of
+these.  Tokens are told apart by 64-bit hashes in collapsing equal sets and by their bytes in
 verification.
 """
 
@@ -85,7 +86,7 @@ def _lines(table, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for at, _, buf, offs in core.chunks(batch.column(1)):
                 _, row, code, line = _tokens(buf, offs)
                 if not len(code):
@@ -112,21 +113,21 @@ def _lines(table, threshold: float):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(code[where].view(np.int64)))
                 head = np.searchsorted(row, row[own])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[at + row[own]], pa.int64()), pa.array((own - head).astype(np.int32)),
+                    pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[at + row[own]], pa.int64()), pa.array(part[at + row[own]], pa.int64()), pa.array((own - head).astype(np.int32)),
                     pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), lists,
-                ], names=["k1", "k2", "doc_id", "line", "n", "bits", "prefix"])
+                ], names=["k1", "k2", "doc_id", "part", "line", "n", "bits", "prefix"])
 
     return run
 
 
 def _entries(table, threshold: float):
-    """Sets (doc_id, line, n, bits, prefix) -> an index entry for each prefix token and block pair."""
+    """Sets (doc_id, part, line, n, bits, prefix) -> an index entry for each prefix token and block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            ids, line, n, bits = (batch.column(i).to_numpy() for i in range(4))
-            prefix = batch.column(4)
+            ids, part, line, n, bits = (batch.column(i).to_numpy() for i in range(5))
+            prefix = batch.column(5)
             offs = prefix.offsets.to_numpy().astype(np.int64)
             token = prefix.values.to_numpy().view(np.uint64)[offs[0] : offs[-1]]
             size = np.diff(offs)
@@ -135,13 +136,13 @@ def _entries(table, threshold: float):
             # A token's class bounds how many sets can have it; those of very frequent ones are dealt over pairs of blocks.
             bound = 2.0 ** ((classes[(token & np.uint64(RARITY - 1)).astype(np.int64)] + 1) / 8)
             blocks = np.maximum(1, np.ceil(bound / BLOCK)).astype(np.int64)
-            own = (core.mix(ids[row].view(np.uint64) * core._STEP[1] + line[row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            own = (core.mix(ids[row].view(np.uint64) * core._STEP[1] + part[row].view(np.uint64) * core._STEP[2] + line[row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
             copy = np.repeat(np.arange(len(row)), blocks)
             other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             low, high = np.minimum(own[copy], other), np.maximum(own[copy], other)
             key = np.where(blocks[copy] == 1, token[copy], core.mix(token[copy] + core._STEP[2] * (low * (1 << 20) + high + 1).astype(np.uint64)))
             row, at = row[copy], at[copy]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(line[row]), pa.array(n[row].astype(np.int64) << 32 | at), pa.array(bits[row])], names=["key", "doc_id", "line", "shape", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(part[row]), pa.array(line[row]), pa.array(n[row].astype(np.int64) << 32 | at), pa.array(bits[row])], names=["key", "doc_id", "part", "line", "shape", "bits"])
 
     return run
 
@@ -170,8 +171,8 @@ def _meetings(threshold: float, most: int | None):
         return np.concatenate(later), np.concatenate(earlier)
 
     def solve(table: pa.Table) -> pa.RecordBatch | None:
-        key, ids, line, shape = (table.column(i).to_numpy() for i in range(4))
-        bits = table.column(4).to_numpy().view(np.uint64)
+        key, ids, part, line, shape = (table.column(i).to_numpy() for i in range(5))
+        bits = table.column(5).to_numpy().view(np.uint64)
         n, at = shape >> 32, shape & 0xFFFFFFFF
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
@@ -192,7 +193,7 @@ def _meetings(threshold: float, most: int | None):
             later.append(a + f)
             earlier.append(b + f)
         later, earlier = np.concatenate(later or [live]), np.concatenate(earlier or [live])
-        same = (ids[later] == ids[earlier]) & (line[later] == line[earlier])
+        same = (ids[later] == ids[earlier]) & (part[later] == part[earlier]) & (line[later] == line[earlier])
         later, earlier = later[~same], earlier[~same]
         if not len(later):
             return None
@@ -204,7 +205,7 @@ def _meetings(threshold: float, most: int | None):
         keep = place < (most or len(later))
         more = np.repeat(count, count) > (most or len(later))
         later, earlier, more = later[keep], earlier[keep], more[keep]
-        return pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(ids[later]), pa.array(line[later]), pa.array(ids[earlier]), pa.array(line[earlier]), pa.array(more)], names=["key", "doc_id", "line", "doc_to", "line_to", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(ids[later]), pa.array(part[later]), pa.array(line[later]), pa.array(ids[earlier]), pa.array(part[earlier]), pa.array(line[earlier]), pa.array(more)], names=["key", "doc_id", "part", "line", "doc_to", "part_to", "line_to", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -236,26 +237,25 @@ def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 x, y = set(a.split()), set(b.split())
                 both = len(x & y)
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(3)], names=["doc_id", "part", "line"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked lines of documents, as bytes: doc_id, text, lines -> doc_id, line, words."""
+    """The asked lines of documents, as bytes: doc_id, part, text, lines -> doc_id, part, line, words."""
     for batch in batches:
-        texts, wanted = batch.column(1), batch.column(2)
+        texts, wanted = batch.column(2), batch.column(3)
         for i in range(batch.num_rows):
             parts = (texts[i].as_py() or "").encode().split(b"\n")
-            # Rows that repeat an id may have fewer lines than the one that was asked for.
-            lines = sorted({x for x in wanted[i].as_py() if x < len(parts)})
-            key = batch.column(0)[i].as_py()
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key] * len(lines), pa.int64()), "line": pa.array(lines, pa.int32()), "words": pa.array([b" ".join(parts[x].split()) for x in lines], pa.binary())})
+            lines = sorted(set(wanted[i].as_py()))
+            key, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key] * len(lines), pa.int64()), "part": pa.array([part] * len(lines), pa.int64()), "line": pa.array(lines, pa.int32()), "words": pa.array([b" ".join(parts[x].split()) for x in lines], pa.binary())})
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,51 +276,51 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct token sets at their first lines: doc_id, line, n, bits, prefix."""
-    lines = core.arrow(docs.select("doc_id", "text"), _lines(table, threshold), "k1 long, k2 long, doc_id long, line int, n int, bits long, prefix array<long>")
-    first = F.min(F.struct("doc_id", "line", "n", "bits", "prefix")).alias("first")
+    """Distinct token sets at their first lines: doc_id, part, line, n, bits, prefix."""
+    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold), "k1 long, k2 long, doc_id long, part long, line int, n int, bits long, prefix array<long>")
+    first = F.min(F.struct("doc_id", "part", "line", "n", "bits", "prefix")).alias("first")
     return core.stored(lines.groupBy("k1", "k2").agg(first).select("first.*"))
 
 
 def later_matches(docs: DataFrame, sets: DataFrame, table, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line) of the sets that match a set that begins earlier."""
+    """(doc_id, part, line) of the sets that match a set that begins earlier."""
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = core.stored(pairs.distinct())
-        asked = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_to").alias("doc_id"), F.col("line_to").alias("line"))).distinct()
-        texts = docs.select("doc_id", "text").join(asked.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "doc_id")
-        lines = core.stored(core.arrow(texts.select("doc_id", "text", "lines"), _cut, "doc_id long, line int, words binary").dropDuplicates(["doc_id", "line"]))
-        both = pairs.join(lines, ["doc_id", "line"]).join(lines.select(F.col("doc_id").alias("doc_to"), F.col("line").alias("line_to"), F.col("words").alias("other")), ["doc_to", "line_to"])
-        return core.stored(core.arrow(both.select("doc_id", "line", "words", "other"), _verified(threshold), "doc_id long, line int").distinct())
+        asked = pairs.select("doc_id", "part", "line").unionByName(pairs.select(F.col("doc_to").alias("doc_id"), F.col("part_to").alias("part"), F.col("line_to").alias("line"))).distinct()
+        texts = docs.select("doc_id", "part", "text").join(asked.groupBy("doc_id", "part").agg(F.collect_list("line").alias("lines")), ["doc_id", "part"])
+        lines = core.stored(core.arrow(texts.select("doc_id", "part", "text", "lines"), _cut, "doc_id long, part long, line int, words binary").dropDuplicates(["doc_id", "part", "line"]))
+        both = pairs.join(lines, ["doc_id", "part", "line"]).join(lines.select(F.col("doc_id").alias("doc_to"), F.col("part").alias("part_to"), F.col("line").alias("line_to"), F.col("words").alias("other")), ["doc_to", "part_to", "line_to"])
+        return core.stored(core.arrow(both.select("doc_id", "part", "line", "words", "other"), _verified(threshold), "doc_id long, part long, line int").distinct())
 
     # Sets of up to three words match equal ones only, which are collapsed already.
-    large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1).select("doc_id", "line", "n", "bits", "prefix")
-    names = "key long, doc_id long, line int, doc_to long, line_to int, more boolean"
+    large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1).select("doc_id", "part", "line", "n", "bits", "prefix")
+    names = "key long, doc_id long, part long, line int, doc_to long, part_to long, line_to int, more boolean"
 
     def meet(entries: DataFrame, most: int | None) -> DataFrame:
-        return core.stored(core.arrow(entries.repartition("key").sortWithinPartitions("key", "doc_id", "line"), _meetings(threshold, most), names))
+        return core.stored(core.arrow(entries.repartition("key").sortWithinPartitions("key", "doc_id", "part", "line"), _meetings(threshold, most), names))
 
-    entries = core.arrow(large, _entries(table, threshold), "key long, doc_id long, line int, shape long, bits long")
+    entries = core.arrow(large, _entries(table, threshold), "key long, doc_id long, part long, line int, shape long, bits long")
     near = meet(entries, MOST)
     settled = check(near.drop("key", "more"))
     # Sets that none of their first candidates settles, where there are more, meet all others of their groups.
-    open_ = core.stored(near.where("more").select("key", "doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"))
+    open_ = core.stored(near.where("more").select("key", "doc_id", "part", "line").distinct().join(settled, ["doc_id", "part", "line"], "left_anti"))
     if not open_.limit(1).count():
         return settled
-    rest = meet(entries.join(open_.select("key").distinct(), "key", "left_semi"), None).join(open_, ["key", "doc_id", "line"], "left_semi")
+    rest = meet(entries.join(open_.select("key").distinct(), "key", "left_semi"), None).join(open_, ["key", "doc_id", "part", "line"], "left_semi")
     return settled.unionByName(check(rest.drop("key", "more")))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, the text of the lines that stay, and the columns of ``keep``."""
-    rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
+    rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("part"), F.struct(F.lit(0), *keep).alias("kept"))
     table = docs.sparkSession.sparkContext.broadcast(rarity(rows))
     sets = first_lines(rows, table, threshold)
-    kept = sets.select("doc_id", "line").join(later_matches(rows, sets, table, threshold), ["doc_id", "line"], "left_anti")
-    lists = kept.groupBy("doc_id").agg(F.collect_list("line").alias("keep"))
+    kept = sets.select("doc_id", "part", "line").join(later_matches(rows, sets, table, threshold), ["doc_id", "part", "line"], "left_anti")
+    lists = kept.groupBy("doc_id", "part").agg(F.collect_list("line").alias("keep"))
     kept = rows.schema["kept"].dataType
     schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, text string").add("kept", kept)
-    out = core.arrow(rows.join(lists, "doc_id", "left").select("doc_id", "text", "keep", "kept"), _kept, schema)
+    out = core.arrow(rows.join(lists, ["doc_id", "part"], "left").select("doc_id", "text", "keep", "kept"), _kept, schema)
     return out.select(*core.shown("doc_id"), "n_lines", "n_removed", "text", *(F.col("kept")[c].alias(c) for c in keep))
 
 

@@ -133,6 +133,16 @@ def test_line_dedup_undecided_meet_all(spark, monkeypatch):
     assert got == want
 
 
+def test_line_dedup_shared_ids(spark):
+    """Rows without ids or of one id lose only their own repeated lines."""
+    draw = random.Random(9)
+    a, b, c, d, e, f = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(30)) for _ in range(6))
+    near = a + " end"
+    rows = [(-5, a), (None, b + "\n" + c), (None, d), (3, e + "\n" + near), (3, "one two\n" + f), (3, None), (4, c + " end\n" + d)]
+    got = Counter((r.doc_id, r.n_removed, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter([(-5, 0, a), (None, 0, rows[1][1]), (None, 0, d), (3, 1, e), (3, 0, rows[4][1]), (3, 0, None), (4, 2, "")])
+
+
 # 4
 
 
