@@ -5,14 +5,17 @@ document id, then, where rows share it, the hash of the text, then line number)
 similarity of their token sets is at least the threshold, and every line that matches an earlier line is removed, judged on the input, not on
 what is left.  Lines without words never match.
 
-Equal token sets are collapsed to the first line that has them.  Tokens of a set are ordered by
+Equal token sets are collapsed to the first line that has them, and the sets are numbered in the
+order of these lines.  Tokens of a set are ordered by
 rarity (a table of ``RARITY`` counters over all texts, ties by hash), and the sets that share a
-token of their prefixes meet under it; those of very frequent tokens meet in pairs of blocks.  There, length, positional
-and bitmap filters are applied: a bitmap holds the parity of token hashes, so the bits in
-which two bitmaps differ are no more than the tokens in which the sets differ.  As one earlier match
-is enough, the ``MOST`` earliest candidates of a set in each group are verified first, on the words of the
-lines themselves, so clusters of near copies cost a few rows for each member; sets that stay
-undecided although they have more candidates are then held against all of them.
+token of their prefixes meet under it; the sets of a token that has more than ``BLOCK`` of them meet in pairs of
+blocks, where only sets of different blocks are compared.  There, length, positional
+and bitmap filters are applied: a bitmap, as wide as the set is long, holds the parity of token hashes, so the bits in
+which two bitmaps differ are no more than the tokens in which the sets differ.  One earlier match
+is enough, so a task emits for each set and group only the earlier set whose bitmap is nearest, and the
+nearest of all groups is verified on the words of the lines.  Sets that stay undecided although they
+have more candidates meet the others of their groups again, by wider bitmaps and with ``GROW`` times as
+many of the nearest candidates each round, until each is settled or has no candidate left.
 
 Defined results: null and empty texts have one empty line, kept; a document whose lines are all
 removed has an empty text; repeated rows (one id, one text) count as one document, judged once;
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,12 +39,17 @@ from lexloom.llm import core
 THRESHOLD = 0.8
 #: Counters of the rarity table, which every worker holds as one byte each.
 RARITY = 1 << 20
-#: Candidates of a set in one group that are verified first.
-MOST = 4
-#: Sets of a frequent token that meet in one group, group size up to which groups are compared side by side, entries held by a worker.
-BLOCK = 100_000
+#: Sets of a token that meet in one group, group size up to which groups are compared side by side, entries held by a worker.
+BLOCK = 1 << 15
 LAGS = 48
 ROWS = 100_000
+#: By how much the candidates of a round grow, and how much wider bitmaps are after the first round.
+GROW = 32
+WIDER = 16
+#: Tokens that each bit of a bitmap stands for at most.
+LOAD = 4 / 3
+#: Counters of the rarity table that are summed together.
+SLOTS = 1 << 10
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray):
@@ -64,17 +72,29 @@ def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, buf, offs in core.chunks(batch.column(0)):
             counts += np.bincount((core.words(buf, offs)[0] & np.uint64(RARITY - 1)).astype(np.int64), minlength=RARITY)
-    full = np.flatnonzero(counts)
-    for at in range(0, len(full), 1 << 16):
-        part = full[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(part, pa.int32()), "n": pa.array(counts[part], pa.int64())})
+    if counts.any():
+        parts = counts.reshape(-1, SLOTS)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(len(parts)), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters (block, counts) to logarithmic frequency classes."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts = np.frombuffer(counts.as_buffer(), np.int64)
+            sums[block] = sums[block] + counts if block in sums else counts
+    kinds = [np.minimum(255, 8 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "kinds": pa.array(kinds, pa.binary())})
 
 
 def rarity(docs: DataFrame) -> bytes:
     """Logarithmic frequency class of each counter; its size does not depend on the input."""
-    rows = core.arrow(docs.select("text"), _rarity, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    parts = core.arrow(docs.select("text"), _rarity, "block int, counts binary").repartition("block")
+    rows = core.arrow(parts, _summed, "block int, kinds binary").toArrow()
     classes = np.zeros(RARITY, np.uint8)
-    classes[rows.column("slot").to_numpy()] = np.minimum(255, 8 * np.log2(rows.column("n").to_numpy() + 1.0)).astype(np.uint8)
+    for block, kinds in zip(rows.column("block").to_pylist(), rows.column("kinds").to_pylist(), strict=True):
+        classes[block * SLOTS : (block + 1) * SLOTS] = np.frombuffer(kinds, np.uint8)
     return classes.tobytes()
 
 
@@ -82,7 +102,23 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _lines(table, threshold: float):
+def bitmaps(code: np.ndarray, first: np.ndarray, n: np.ndarray, grow: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): parity bitmaps of sets of hashes that lie one after the other; a wider one folds to a narrower one."""
+    wide = grow << np.ceil(np.log2(np.maximum(1, n / (64 * LOAD)))).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum(wide)])
+    bit = core.mix(code)
+    own = np.repeat(np.arange(len(n)), n)
+    place = (bit & (wide[own] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.zeros(offs[-1], np.uint64)
+    np.bitwise_xor.at(flat, offs[own] + (place >> 6), np.uint64(1) << (bit & np.uint64(63)))
+    return flat, offs
+
+
+def _binary(flat: np.ndarray, offs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((8 * offs).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _lines(table, threshold: float, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
@@ -107,124 +143,148 @@ def _lines(table, threshold: float):
                 own = line[first]
                 k1 = np.add.reduceat(core.mix(code + np.uint64(0x1B873593)), first) + n.astype(np.uint64)
                 k2 = np.add.reduceat(core.mix(code ^ np.uint64(0xE6546B64A5A5A5A5)), first)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (core.mix(code) >> np.uint64(58)), first)
                 take = prefix_length(n, threshold)
                 where = np.repeat(first - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(code[where].view(np.int64)))
+                # Only tokens this frequent can be in the prefixes of more sets than a block holds.
+                often = classes[(code[where] & np.uint64(RARITY - 1)).astype(np.int64)] + 1 >= 8 * np.log2(block + 1.0)
+                bound = np.concatenate([[0], np.cumsum(often)])[np.concatenate([[0], np.cumsum(take)])]
+                common = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(code[where][often].view(np.int64)))
                 head = np.searchsorted(row, row[own])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[at + row[own]], pa.int64()), pa.array(part[at + row[own]], pa.int64()), pa.array((own - head).astype(np.int32)),
-                    pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), lists,
-                ], names=["k1", "k2", "doc_id", "part", "line", "n", "bits", "prefix"])
+                    pa.array(n.astype(np.int32)), _binary(*bitmaps(code, first, n)), lists, common,
+                ], names=["k1", "k2", "doc_id", "part", "line", "n", "bits", "prefix", "common"])
 
     return run
 
 
-def _entries(table, threshold: float):
-    """Sets (doc_id, part, line, n, bits, prefix) -> an index entry for each prefix token and block pair."""
+class _Bitmaps:
+    """Bitmaps of different widths; two are compared at the width of the narrower one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
-            ids, part, line, n, bits = (batch.column(i).to_numpy() for i in range(5))
-            prefix = batch.column(5)
-            offs = prefix.offsets.to_numpy().astype(np.int64)
-            token = prefix.values.to_numpy().view(np.uint64)[offs[0] : offs[-1]]
-            size = np.diff(offs)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(row)) - np.repeat(offs[:-1] - offs[0], size)
-            # A token's class bounds how many sets can have it; those of very frequent ones are dealt over pairs of blocks.
-            bound = 2.0 ** ((classes[(token & np.uint64(RARITY - 1)).astype(np.int64)] + 1) / 8)
-            blocks = np.maximum(1, np.ceil(bound / BLOCK)).astype(np.int64)
-            own = (core.mix(ids[row].view(np.uint64) * core._STEP[1] + part[row].view(np.uint64) * core._STEP[2] + line[row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            copy = np.repeat(np.arange(len(row)), blocks)
-            other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            low, high = np.minimum(own[copy], other), np.maximum(own[copy], other)
-            key = np.where(blocks[copy] == 1, token[copy], core.mix(token[copy] + core._STEP[2] * (low * (1 << 20) + high + 1).astype(np.uint64)))
-            row, at = row[copy], at[copy]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(part[row]), pa.array(line[row]), pa.array(n[row].astype(np.int64) << 32 | at), pa.array(bits[row])], names=["key", "doc_id", "part", "line", "shape", "bits"])
+    def __init__(self, col: pa.Array):
+        data, offs = core.buffers(col)
+        self.flat = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.uint64)
+        self.first = (offs[:-1] - offs[0]) >> 3
+        self.wide = np.diff(offs) >> 3
 
-    return run
+    def _rows(self, which: np.ndarray, wide: int) -> np.ndarray:
+        out = self.flat[self.first[which][:, None] + np.arange(wide)]
+        # Of sets that pass the length filter, one bitmap is at most twice as wide.
+        more = np.flatnonzero(self.wide[which] > wide)
+        out[more] ^= self.flat[self.first[which[more]][:, None] + np.arange(wide, 2 * wide)]
+        return out
 
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits of the pairs (x, y)."""
+        out = np.zeros(len(x), np.int64)
+        both = np.minimum(self.wide[x], self.wide[y])
+        for wide in np.unique(both).tolist():
+            which = np.flatnonzero(both == wide)
+            step = max(1, (1 << 19) // wide)
+            for s in range(0, len(which), step):
+                part = which[s : s + step]
+                out[part] = np.bitwise_count(self._rows(x[part], wide) ^ self._rows(y[part], wide)).sum(1)
+        return out
 
-def _filtered(n, m, at, to, x, y, threshold: float) -> np.ndarray:
-    """Length, positional and bitmap filters on index entries, side by side."""
-    need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
-    ok = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - to) >= need)
-    return ok & (np.bitwise_count(x ^ y) <= n + m - 2 * need)
 
+def _may_match(n, m, at, to, threshold: float) -> np.ndarray:
+    """Length and positional filters on index entries, side by side."""
+    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - to) >= threshold / (1 + threshold) * (n + m) - 1e-9)
 
-def _meetings(threshold: float, most: int | None):
-    """Sorted entries -> candidate pairs (later set, earlier set): for each set of a group its ``most`` earliest ones that
-    pass the filters, and whether there are more (all of them if ``most`` is None)."""
 
-    def pairs(n, at, bits) -> tuple[np.ndarray, np.ndarray]:
-        later, earlier = [], []
-        for s in range(0, len(n), 256):
-            e = min(len(n), s + 256)
-            x = np.arange(s, e)[:, None]
-            y = np.arange(e)[None, :]
-            hit = (y < x) & _filtered(n[s:e, None], n[None, :e], at[s:e, None], at[None, :e], bits[s:e, None], bits[None, :e], threshold)
-            a, b = np.nonzero(hit)
-            later.append(a + s)
-            earlier.append(b)
-        return np.concatenate(later), np.concatenate(earlier)
+MEETING = "key long, seq long, shape long, bits binary"
+MET = "key long, seq long, to long, apart long, more boolean"
+
+
+def _meetings(threshold: float, since: int, until: int):
+    """Sorted entries -> for each asked set of a group the earlier sets that pass the filters, those ranked from
+    ``since`` to ``until`` by the distance of their bitmaps, and whether there are more."""
 
     def solve(table: pa.Table) -> pa.RecordBatch | None:
-        key, ids, part, line, shape = (table.column(i).to_numpy() for i in range(5))
-        bits = table.column(5).to_numpy().view(np.uint64)
-        n, at = shape >> 32, shape & 0xFFFFFFFF
+        key, seq, shape = (table.column(c).to_numpy() for c in range(3))
+        bits = table.column(3).combine_chunks()
+        bits = _Bitmaps(bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits)
+        n, at, side, asked = shape >> 32, shape >> 3 & 0x1FFFFFFF, shape >> 1 & 3, shape & 1 > 0
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         inner = np.arange(len(key)) - np.repeat(first, size)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = np.zeros(len(key), np.int64)
+        rows = 0
+
+        def nearest() -> tuple[np.ndarray, ...]:
+            later, earlier, apart = (np.concatenate([h[c] for h in held]) if held else np.zeros(0, np.int64) for c in range(3))
+            order = np.lexsort([seq[earlier], apart, later])
+            later, earlier, apart = later[order], earlier[order], apart[order]
+            start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, np.int64)
+            rank = np.arange(len(later)) - np.repeat(start, np.diff(np.concatenate([start, [len(later)]])))
+            keep = rank < until
+            return later[keep], earlier[keep], apart[keep], rank[keep]
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            """Pairs that pass the other filters, in any order."""
+            nonlocal held, rows
+            # Blocks are compared with each other only in the group of both.
+            ok = (seq[x] != seq[y]) & ((side[x] == 0) | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            later, earlier = np.where(seq[x] > seq[y], x, y), np.where(seq[x] > seq[y], y, x)
+            ok = asked[later]
+            later, earlier = later[ok], earlier[ok]
+            both = n[later] + n[earlier]
+            apart = bits.distance(later, earlier)
+            ok = apart <= both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
+            later, earlier, apart = later[ok], earlier[ok], apart[ok]
+            np.add.at(count, later, 1)
+            held.append((later, earlier, apart))
+            rows += len(later)
+            if rows > 1 << 20:
+                held = [nearest()[:3]]
+                rows = len(held[0][0])
+
         wide = np.repeat(size, size) > LAGS
-        later, earlier = [], []
         live = np.flatnonzero(~wide & (inner > 0))
         lag = 1
         while len(live):
             y = live - lag
-            hit = _filtered(n[live], n[y], at[live], at[y], bits[live], bits[y], threshold)
-            later.append(live[hit])
-            earlier.append(y[hit])
+            hit = _may_match(n[live], n[y], at[live], at[y], threshold)
+            add(live[hit], y[hit])
             lag += 1
             live = live[inner[live] >= lag]
         for f, c in zip(first[size > LAGS].tolist(), size[size > LAGS].tolist(), strict=True):
-            a, b = pairs(n[f : f + c], at[f : f + c], bits[f : f + c])
-            later.append(a + f)
-            earlier.append(b + f)
-        later, earlier = np.concatenate(later or [live]), np.concatenate(earlier or [live])
-        same = (ids[later] == ids[earlier]) & (part[later] == part[earlier]) & (line[later] == line[earlier])
-        later, earlier = later[~same], earlier[~same]
+            # By length, so that each set is held against a range.
+            by = f + np.argsort(n[f : f + c], kind="stable")
+            length = n[by]
+            for s in range(0, c, 256):
+                e = min(c, s + 256)
+                low = int(np.searchsorted(length, threshold * length[s] - 1e-9))
+                x, y = by[s:e], by[low:e]
+                hit = (np.arange(low, e)[None, :] < np.arange(s, e)[:, None]) & _may_match(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :], threshold)
+                a, b = np.nonzero(hit)
+                add(x[a], y[b])
+        later, earlier, apart, rank = nearest()
+        keep = rank >= since
+        later, earlier, apart = later[keep], earlier[keep], apart[keep]
         if not len(later):
             return None
-        order = np.lexsort([earlier, later])
-        later, earlier = later[order], earlier[order]
-        start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
-        count = np.diff(np.concatenate([start, [len(later)]]))
-        place = np.arange(len(later)) - np.repeat(start, count)
-        keep = place < (most or len(later))
-        more = np.repeat(count, count) > (most or len(later))
-        later, earlier, more = later[keep], earlier[keep], more[keep]
-        return pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(ids[later]), pa.array(part[later]), pa.array(line[later]), pa.array(ids[earlier]), pa.array(part[earlier]), pa.array(line[earlier]), pa.array(more)], names=["key", "doc_id", "part", "line", "doc_to", "part_to", "line_to", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(seq[later]), pa.array(seq[earlier]), pa.array(apart, pa.int64()), pa.array(count[later] > until)], names=["key", "seq", "to", "apart", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
             # All groups but the last one of what is held are complete.
-            cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
-            if held and held[-1].column(0)[-1].as_py() != key[0] or cut:
-                done = [*held, batch.slice(0, cut)] if cut else held
-                rows = sum(b.num_rows for b in done)
-                if rows >= ROWS or not cut:
-                    if (out := solve(pa.Table.from_batches(done).combine_chunks())) is not None:
-                        yield out
-                    held = [batch.slice(cut)]
-                    continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if (rows + cut >= ROWS and cut) or (rows >= ROWS and last != key[0]):
+                if (out := solve(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())) is not None:
+                    yield out
+                held, rows, batch = [], 0, batch.slice(cut)
             held.append(batch)
+            rows += batch.num_rows
+            last = key[-1]
         if held and (out := solve(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield out
 
@@ -232,30 +292,43 @@ def _meetings(threshold: float, most: int | None):
 
 
 def _verified(threshold: float):
-    """Rows (word sets of the two lines) to those that reach the threshold."""
+    """Rows (seq, words of the two lines) to those that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x, y = set(a.split()), set(b.split())
                 both = len(x & y)
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(3)], names=["doc_id", "part", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["seq"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked lines of documents, as bytes: doc_id, part, text, lines -> doc_id, part, line, words."""
+    """The asked lines of documents, as bytes: text, lines (line, seq) -> seq, words."""
     for batch in batches:
-        texts, wanted = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            parts = (texts[i].as_py() or "").encode().split(b"\n")
-            lines = sorted(set(wanted[i].as_py()))
-            key, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key] * len(lines), pa.int64()), "part": pa.array([part] * len(lines), pa.int64()), "line": pa.array(lines, pa.int32()), "words": pa.array([b" ".join(parts[x].split()) for x in lines], pa.binary())})
+        for text, asked in zip(batch.column(0), batch.column(1), strict=True):
+            parts = (text.as_py() or "").encode().split(b"\n")
+            rows = asked.as_py()
+            yield pa.RecordBatch.from_pydict({"seq": pa.array([x["seq"] for x in rows], pa.int64()), "words": pa.array([b" ".join(parts[x["line"]].split()) for x in rows], pa.binary())})
+
+
+def _wider(grow: int):
+    """seq, words -> seq, bitmaps ``grow`` times as wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, buf, offs in core.chunks(batch.column(1)):
+                code, row, _, _ = core.words(buf, offs)
+                order = np.lexsort([code, row])
+                code, row = code[order], row[order]
+                fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+                code, n = code[fresh], np.bincount(row[fresh], minlength=to - at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), _binary(*bitmaps(code, np.cumsum(n) - n, n, grow))], names=["seq", "bits"])
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,48 +348,76 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*done.columns, part.column(3)], names=[*done.schema.names, "kept"])
 
 
-def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct token sets at their first lines: doc_id, part, line, n, bits, prefix."""
-    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold), "k1 long, k2 long, doc_id long, part long, line int, n int, bits long, prefix array<long>")
-    first = F.min(F.struct("doc_id", "part", "line", "n", "bits", "prefix")).alias("first")
-    return core.stored(lines.groupBy("k1", "k2").agg(first).select("first.*"))
+def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Distinct token sets at their first lines, numbered in the order of these: seq, doc_id, part, line, n, bits, prefix, common."""
+    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold, block), "k1 long, k2 long, doc_id long, part long, line int, n int, bits binary, prefix array<long>, common array<long>")
+    first = F.min(F.struct("doc_id", "part", "line", "n", "bits", "prefix", "common")).alias("first")
+    sets = lines.groupBy("k1", "k2").agg(first).select("first.*")
+    order = ("doc_id", "part", "line")
+    return core.stored(sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()))
 
 
-def later_matches(docs: DataFrame, sets: DataFrame, table, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, part, line) of the sets that match a set that begins earlier."""
+def _entries(sets: DataFrame, block: int, *more: str) -> DataFrame:
+    """Each set once for every token of its prefix, or for every pair of blocks that its own is part of: key, seq, size, at, side."""
+    # No more rows than entries by block; read from storage, so that its size is known when the join is planned.
+    hot = sets.select(F.explode("common").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = core.stored(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    rows = sets.select("seq", F.col("n").alias("size"), *more, F.posexplode("prefix").alias("at", "key"))
+    dealt = rows.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "seq", "size", *more, "at", side.alias("side"))
+    return rows.join(hot, "key", "left_anti").select("key", "seq", "size", *more, "at", F.lit(0).alias("side")).unionByName(dealt)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = core.stored(pairs.distinct())
-        asked = pairs.select("doc_id", "part", "line").unionByName(pairs.select(F.col("doc_to").alias("doc_id"), F.col("part_to").alias("part"), F.col("line_to").alias("line"))).distinct()
-        texts = docs.select("doc_id", "part", "text").join(asked.groupBy("doc_id", "part").agg(F.collect_list("line").alias("lines")), ["doc_id", "part"])
-        lines = core.stored(core.arrow(texts.select("doc_id", "part", "text", "lines"), _cut, "doc_id long, part long, line int, words binary").dropDuplicates(["doc_id", "part", "line"]))
-        both = pairs.join(lines, ["doc_id", "part", "line"]).join(lines.select(F.col("doc_id").alias("doc_to"), F.col("part").alias("part_to"), F.col("line").alias("line_to"), F.col("words").alias("other")), ["doc_to", "part_to", "line_to"])
-        return core.stored(core.arrow(both.select("doc_id", "part", "line", "words", "other"), _verified(threshold), "doc_id long, part long, line int").distinct())
 
-    # Sets of up to three words match equal ones only, which are collapsed already.
-    large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1).select("doc_id", "part", "line", "n", "bits", "prefix")
-    names = "key long, doc_id long, part long, line int, doc_to long, part_to long, line_to int, more boolean"
+def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(seq) of the sets that match a set that begins earlier."""
+    places = sets.select("seq", "doc_id", "part", "line")
 
-    def meet(entries: DataFrame, most: int | None) -> DataFrame:
-        return core.stored(core.arrow(entries.repartition("key").sortWithinPartitions("key", "doc_id", "part", "line"), _meetings(threshold, most), names))
+    def words(asked: DataFrame) -> DataFrame:
+        """(seq, words) of the first lines of sets."""
+        by = places.join(asked, "seq").groupBy("doc_id", "part").agg(F.collect_list(F.struct("line", "seq")).alias("lines"))
+        # Repeated rows give the same words.
+        return core.stored(core.arrow(docs.select("doc_id", "part", "text").join(by, ["doc_id", "part"]).select("text", "lines"), _cut, "seq long, words binary").dropDuplicates(["seq"]))
 
-    entries = core.arrow(large, _entries(table, threshold), "key long, doc_id long, part long, line int, shape long, bits long")
-    near = meet(entries, MOST)
-    settled = check(near.drop("key", "more"))
-    # Sets that none of their first candidates settles, where there are more, meet all others of their groups.
-    open_ = core.stored(near.where("more").select("key", "doc_id", "part", "line").distinct().join(settled, ["doc_id", "part", "line"], "left_anti"))
-    if not open_.limit(1).count():
-        return settled
-    rest = meet(entries.join(open_.select("key").distinct(), "key", "left_semi"), None).join(open_, ["key", "doc_id", "part", "line"], "left_semi")
-    return settled.unionByName(check(rest.drop("key", "more")))
+    def check(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The later sets of those pairs (seq, to) that reach the threshold."""
+        both = pairs.join(held, "seq").join(held.select(F.col("seq").alias("to"), F.col("words").alias("other")), "to")
+        return core.stored(core.arrow(both.select("seq", "words", "other"), _verified(threshold), "seq long").distinct())
 
+    def meet(rows: DataFrame, asked: Column, since: int, until: int) -> DataFrame:
+        shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 3)).bitwiseOR(2 * F.col("side").cast("long")).bitwiseOR(asked.cast("long"))
+        rows = rows.select("key", "seq", shape.alias("shape"), "bits").repartition("key").sortWithinPartitions("key")
+        return core.stored(core.arrow(rows, _meetings(threshold, since, until), MET))
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    # Sets of up to three words match equal ones only, which are collapsed already.
+    large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1)
+    near = meet(_entries(large, block, "bits"), F.lit(1), 0, 1)
+    best = core.stored(near.groupBy("seq").agg(F.min(F.struct("apart", "to")).alias("best"), (F.max("more") | (F.min("to") < F.max("to"))).alias("more")).select("seq", "best.to", "more"))
+    settled = check(best, words(best.select("seq").union(best.select("to")).distinct()))
+    open_ = core.stored(best.where("more").select("seq").join(settled, "seq", "left_anti"))
+    members, held, since, until = _entries(large, block), None, 0, GROW
+    while open_.limit(1).count():
+        # After the first round, groups without more candidates are done with.
+        groups = (near.where("more") if since else near).join(open_, "seq", "left_semi").select("key").distinct()
+        members = core.stored(members.join(core.stored(groups), "key", "left_semi"))
+        if not since:
+            held = words(members.select("seq").distinct())
+            wider = core.stored(core.arrow(held, _wider(WIDER), "seq long, bits binary"))
+        rows = members.join(wider, "seq").join(open_.withColumn("asked", F.lit(1)), "seq", "left")
+        near = meet(rows, F.coalesce("asked", F.lit(0)), since, until)
+        found = check(near.select("seq", "to").distinct(), held)
+        settled = settled.unionByName(found)
+        open_ = core.stored(near.where("more").select("seq").distinct().join(found, "seq", "left_anti"))
+        since, until = until, until * GROW
+    return settled
+
+
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, the text of the lines that stay, and the columns of ``keep``."""
     rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("part"), F.struct(F.lit(0), *keep).alias("kept"))
     table = docs.sparkSession.sparkContext.broadcast(rarity(rows))
-    sets = first_lines(rows, table, threshold)
-    kept = sets.select("doc_id", "part", "line").join(later_matches(rows, sets, table, threshold), ["doc_id", "part", "line"], "left_anti")
+    sets = first_lines(rows, table, threshold, block)
+    kept = sets.select("seq", "doc_id", "part", "line").join(later_matches(rows, sets, threshold, block), "seq", "left_anti")
     lists = kept.groupBy("doc_id", "part").agg(F.collect_list("line").alias("keep"))
     kept = rows.schema["kept"].dataType
     schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, text string").add("kept", kept)

@@ -118,19 +118,23 @@ def test_line_dedup(spark, docs, texts):
     assert all((r.text or "") == want[-1 << 63 if r.doc_id is None else r.doc_id] for r in got)
 
 
-def test_line_dedup_undecided_meet_all(spark, monkeypatch):
-    """With one candidate a group before verification, the rest is still found."""
-    monkeypatch.setattr(line_dedup, "MOST", 1)
+@pytest.mark.parametrize(("grow", "block"), [(32, 1 << 15), (2, 7)])
+def test_line_dedup_undecided_go_on(spark, monkeypatch, grow, block):
+    """Sets whose nearest candidates fail go on to the others, also over blocks."""
+    monkeypatch.setattr(line_dedup, "GROW", grow)
+    monkeypatch.setattr(line_dedup, "WIDER", grow)
     draw = random.Random(8)
     base = [f"w{i}" for i in range(40)]
     rows = [(k, " ".join(draw.sample(base, 40 - draw.randint(0, 9)) + [f"x{k % 5}"] * (k % 2))) for k in range(150)]
+    long = [f"v{i}" for i in range(900)]
+    rows += [(k, " ".join(long[: 900 - 40 * (k % 7)] + [f"y{k}-{i}" for i in range(60 * (k % 3))])) for k in range(150, 170)]
     want, seen = {}, []
     for k, t in rows:
         s = frozenset(t.split())
         want[k] = any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in seen)
         seen.append(s)
-    got = {r.doc_id: r.n_removed == 1 for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    got = {r.doc_id: r.n_removed == 1 for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == want and 20 < sum(want.values()) < 160
 
 
 def test_line_dedup_shared_ids(spark):
