@@ -14,8 +14,8 @@ and bitmap filters are applied: a bitmap, as wide as the set is long, holds the
 which two bitmaps differ are no more than the tokens in which the sets differ.  One earlier match
 is enough, so a task emits for each set and group only the earlier set whose bitmap is nearest, and the
 nearest of all groups is verified on the words of the lines.  Sets that stay undecided although they
-have more candidates meet the others of their groups again, by wider bitmaps and with ``GROW`` times as
-many of the nearest candidates each round, until each is settled or has no candidate left.
+have more candidates meet the others of their groups again, with ``GROW`` times as
+many of the nearest candidates each round and by wider bitmaps, until each is settled or has no candidate left.
 
 Defined results: null and empty texts have one empty line, kept; a document whose lines are all
 removed has an empty text; repeated rows (one id, one text) count as one document, judged once;
@@ -39,15 +39,23 @@ from lexloom.llm import core
 THRESHOLD = 0.8
 #: Counters of the rarity table, which every worker holds as one byte each.
 RARITY = 1 << 20
-#: Sets of a token that meet in one group, group size up to which groups are compared side by side, entries held by a worker.
+#: Sets of a token that meet in one group, and group size up to which groups are compared side by side.
 BLOCK = 1 << 15
 LAGS = 48
-ROWS = 100_000
-#: By how much the candidates of a round grow, and how much wider bitmaps are after the first round.
-GROW = 32
+#: Bytes of index entries that are compared by a worker at a time, and that are gathered before they are sent.
+BUCKET = 1 << 22
+GATHER = 1 << 23
+#: Pairs looked at together.
+CELLS = 1 << 18
+#: By how much the candidates of a round grow, and how much wider bitmaps are from the third round on.
+GROW = 128
 WIDER = 16
+#: Keys that every worker may hold.
+FEW = 1 << 20
 #: Tokens that each bit of a bitmap stands for at most.
 LOAD = 4 / 3
+#: Bytes of text worked on together: their arrays fit a core's cache.
+CHUNK = 1 << 17
 #: Counters of the rarity table that are summed together.
 SLOTS = 1 << 10
 
@@ -70,8 +78,8 @@ def _tokens(buf: np.ndarray, offs: np.ndarray):
 def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(RARITY, np.int64)
     for batch in batches:
-        for _, _, buf, offs in core.chunks(batch.column(0)):
-            counts += np.bincount((core.words(buf, offs)[0] & np.uint64(RARITY - 1)).astype(np.int64), minlength=RARITY)
+        for _, _, buf, offs in core.chunks(batch.column(0), CHUNK):
+            np.add.at(counts, (core.words(buf, offs)[0] & np.uint64(RARITY - 1)).astype(np.int64), 1)
     if counts.any():
         parts = counts.reshape(-1, SLOTS)
         yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(len(parts)), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
@@ -123,7 +131,7 @@ def _lines(table, threshold: float, block: int):
         classes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             ids, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for at, _, buf, offs in core.chunks(batch.column(1)):
+            for at, _, buf, offs in core.chunks(batch.column(1), CHUNK):
                 _, row, code, line = _tokens(buf, offs)
                 if not len(code):
                     continue
@@ -145,7 +153,7 @@ def _lines(table, threshold: float, block: int):
                 k2 = np.add.reduceat(core.mix(code ^ np.uint64(0xE6546B64A5A5A5A5)), first)
                 take = prefix_length(n, threshold)
                 where = np.repeat(first - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(code[where].view(np.int64)))
+                lists = _binary(code[where], np.concatenate([[0], np.cumsum(take)]))
                 # Only tokens this frequent can be in the prefixes of more sets than a block holds.
                 often = classes[(code[where] & np.uint64(RARITY - 1)).astype(np.int64)] + 1 >= 8 * np.log2(block + 1.0)
                 bound = np.concatenate([[0], np.cumsum(often)])[np.concatenate([[0], np.cumsum(take)])]
@@ -159,14 +167,89 @@ def _lines(table, threshold: float, block: int):
     return run
 
 
+ROW = ("key", "seq", "size", "at", "side", "asked", "bits")
+ENTRIES = "bucket int, keys binary, seqs binary, shapes binary, wides binary, bits binary"
+
+
+def _sent(key: np.ndarray, seq: np.ndarray, shape: np.ndarray, flat: np.ndarray, first: np.ndarray, wide: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries, with bitmaps flat[first : first + wide], as one row for each bucket of keys."""
+    bucket = (core.mix(key.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, wide = bucket[order], wide[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    past = np.concatenate([[0], np.cumsum(wide)])
+    bits = flat[np.repeat(first[order] - past[:-1], wide) + np.arange(past[-1])]
+    columns = [pa.array(bucket[cut[:-1]].astype(np.int32)), *(_binary(x, cut) for x in (key[order], seq[order], shape[order], wide)), _binary(bits, past[cut])]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "seqs", "shapes", "wides", "bits"])
+
+
+def _bits_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, offs = core.buffers(col)
+    return np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.uint64), (offs[:-1] - offs[0]) >> 3, np.diff(offs) >> 3
+
+
+def _shape(n, at, side, asked):
+    return n << 32 | at << 3 | side << 1 | asked
+
+
+def _parts(batches: Iterator[pa.RecordBatch]):
+    """Sets (seq, n, bits, prefix), some at a time: seq, n, token and position of each entry, and of its bitmap the words, first one and width."""
+    for batch in batches:
+        seq, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        flat, first, wide = _bits_of(batch.column(2))
+        token, start, size = _bits_of(batch.column(3))
+        weight = np.cumsum(8 * size * (4 + wide))
+        s = 0
+        while s < len(seq):
+            e = max(s + 1, int(np.searchsorted(weight, (weight[s - 1] if s else 0) + GATHER, "right")))
+            row = np.repeat(np.arange(s, e), size[s:e])
+            at = np.arange(len(row)) - np.repeat(start[s:e] - start[s], size[s:e])
+            yield seq[row], n[row], token[start[s] : start[s] + len(row)].view(np.int64), at, flat, first[row], wide[row]
+            s = e
+
+
+def _send_sets(buckets: int):
+    """Sets -> their entries, all asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, n, key, at, flat, first, wide in _parts(batches):
+            yield _sent(key, seq, _shape(n, at, 0, 1), flat, first, wide, buckets)
+
+    return run
+
+
+def _rows_of(keys):
+    """Sets -> a row for each entry, of the given keys only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if keys is None else np.frombuffer(keys.value, np.int64)
+        for seq, n, key, at, flat, first, wide in _parts(batches):
+            if wanted is not None:
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                seq, n, key, at, first, wide = (x[hit] for x in (seq, n, key, at, first, wide))
+            past = np.concatenate([[0], np.cumsum(wide)])
+            bits = _binary(flat[np.repeat(first - past[:-1], wide) + np.arange(past[-1])], past)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seq), pa.array(n), pa.array(at), bits], names=["key", "seq", "size", "at", "bits"])
+
+    return run
+
+
+def _send_rows(buckets: int):
+    """Entries (key, seq, size, at, side, asked, bits), row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, seq, n, at, side, asked = (batch.column(c).to_numpy().astype(np.int64) for c in range(6))
+            yield _sent(key, seq, _shape(n, at, side, asked), *_bits_of(batch.column(6)), buckets)
+
+    return run
+
+
 class _Bitmaps:
     """Bitmaps of different widths; two are compared at the width of the narrower one."""
 
-    def __init__(self, col: pa.Array):
-        data, offs = core.buffers(col)
-        self.flat = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.uint64)
-        self.first = (offs[:-1] - offs[0]) >> 3
-        self.wide = np.diff(offs) >> 3
+    def __init__(self, flat: np.ndarray, first: np.ndarray, wide: np.ndarray):
+        self.flat, self.first, self.wide = flat, first, wide
 
     def _rows(self, which: np.ndarray, wide: int) -> np.ndarray:
         out = self.flat[self.first[which][:, None] + np.arange(wide)]
@@ -181,7 +264,7 @@ class _Bitmaps:
         both = np.minimum(self.wide[x], self.wide[y])
         for wide in np.unique(both).tolist():
             which = np.flatnonzero(both == wide)
-            step = max(1, (1 << 19) // wide)
+            step = max(1, CELLS // wide)
             for s in range(0, len(which), step):
                 part = which[s : s + step]
                 out[part] = np.bitwise_count(self._rows(x[part], wide) ^ self._rows(y[part], wide)).sum(1)
@@ -193,28 +276,29 @@ def _may_match(n, m, at, to, threshold: float) -> np.ndarray:
     return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - to) >= threshold / (1 + threshold) * (n + m) - 1e-9)
 
 
-MEETING = "key long, seq long, shape long, bits binary"
 MET = "key long, seq long, to long, apart long, more boolean"
 
 
 def _meetings(threshold: float, since: int, until: int):
-    """Sorted entries -> for each asked set of a group the earlier sets that pass the filters, those ranked from
+    """Entries by bucket -> for each asked set of a group the earlier sets that pass the filters, those ranked from
     ``since`` to ``until`` by the distance of their bitmaps, and whether there are more."""
 
-    def solve(table: pa.Table) -> pa.RecordBatch | None:
-        key, seq, shape = (table.column(c).to_numpy() for c in range(3))
-        bits = table.column(3).combine_chunks()
-        bits = _Bitmaps(bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits)
+    def solve(held: list[tuple]) -> pa.RecordBatch | None:
+        key, seq, shape, wide, flat = (np.frombuffer(b"".join(h[c] for h in held), np.uint64 if c == 4 else np.int64) for c in range(5))
+        order = np.argsort(key, kind="stable")
+        start = np.concatenate([[0], np.cumsum(wide)[:-1]])
+        key, seq, shape = key[order], seq[order], shape[order]
+        bits = _Bitmaps(flat, start[order], wide[order])
         n, at, side, asked = shape >> 32, shape >> 3 & 0x1FFFFFFF, shape >> 1 & 3, shape & 1 > 0
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         inner = np.arange(len(key)) - np.repeat(first, size)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = np.zeros(len(key), np.int64)
         rows = 0
 
         def nearest() -> tuple[np.ndarray, ...]:
-            later, earlier, apart = (np.concatenate([h[c] for h in held]) if held else np.zeros(0, np.int64) for c in range(3))
+            later, earlier, apart = (np.concatenate([h[c] for h in found]) if found else np.zeros(0, np.int64) for c in range(3))
             order = np.lexsort([seq[earlier], apart, later])
             later, earlier, apart = later[order], earlier[order], apart[order]
             start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, np.int64)
@@ -224,7 +308,7 @@ def _meetings(threshold: float, since: int, until: int):
 
         def add(x: np.ndarray, y: np.ndarray) -> None:
             """Pairs that pass the other filters, in any order."""
-            nonlocal held, rows
+            nonlocal found, rows
             # Blocks are compared with each other only in the group of both.
             ok = (seq[x] != seq[y]) & ((side[x] == 0) | (side[x] != side[y]))
             x, y = x[ok], y[ok]
@@ -236,11 +320,11 @@ def _meetings(threshold: float, since: int, until: int):
             ok = apart <= both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
             later, earlier, apart = later[ok], earlier[ok], apart[ok]
             np.add.at(count, later, 1)
-            held.append((later, earlier, apart))
+            found.append((later, earlier, apart))
             rows += len(later)
-            if rows > 1 << 20:
-                held = [nearest()[:3]]
-                rows = len(held[0][0])
+            if rows > CELLS:
+                found = [nearest()[:3]]
+                rows = len(found[0][0])
 
         wide = np.repeat(size, size) > LAGS
         live = np.flatnonzero(~wide & (inner > 0))
@@ -255,8 +339,9 @@ def _meetings(threshold: float, since: int, until: int):
             # By length, so that each set is held against a range.
             by = f + np.argsort(n[f : f + c], kind="stable")
             length = n[by]
-            for s in range(0, c, 256):
-                e = min(c, s + 256)
+            step = max(1, CELLS // c)
+            for s in range(0, c, step):
+                e = min(c, s + step)
                 low = int(np.searchsorted(length, threshold * length[s] - 1e-9))
                 x, y = by[s:e], by[low:e]
                 hit = (np.arange(low, e)[None, :] < np.arange(s, e)[:, None]) & _may_match(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :], threshold)
@@ -270,22 +355,15 @@ def _meetings(threshold: float, since: int, until: int):
         return pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(seq[later]), pa.array(seq[earlier]), pa.array(apart, pa.int64()), pa.array(count[later] > until)], names=["key", "seq", "to", "apart", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, last = 0, None
+        now, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            # All groups but the last one of what is held are complete.
-            cut = int(np.searchsorted(key, key[-1]))
-            if (rows + cut >= ROWS and cut) or (rows >= ROWS and last != key[0]):
-                if (out := solve(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())) is not None:
-                    yield out
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-            last = key[-1]
-        if held and (out := solve(pa.Table.from_batches(held).combine_chunks())) is not None:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != now:
+                    if held and (out := solve(held)) is not None:
+                        yield out
+                    now, held = bucket, []
+                held.append([batch.column(c)[i].as_buffer() for c in range(1, 6)])
+        if held and (out := solve(held)) is not None:
             yield out
 
     return run
@@ -350,62 +428,83 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Distinct token sets at their first lines, numbered in the order of these: seq, doc_id, part, line, n, bits, prefix, common."""
-    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold, block), "k1 long, k2 long, doc_id long, part long, line int, n int, bits binary, prefix array<long>, common array<long>")
+    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold, block), "k1 long, k2 long, doc_id long, part long, line int, n int, bits binary, prefix binary, common array<long>")
     first = F.min(F.struct("doc_id", "part", "line", "n", "bits", "prefix", "common")).alias("first")
     sets = lines.groupBy("k1", "k2").agg(first).select("first.*")
     order = ("doc_id", "part", "line")
     return core.stored(sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()))
 
 
-def _entries(sets: DataFrame, block: int, *more: str) -> DataFrame:
-    """Each set once for every token of its prefix, or for every pair of blocks that its own is part of: key, seq, size, at, side."""
+def _entries(sets: DataFrame, block: int, keys=None) -> DataFrame:
+    """Each set once for every token of its prefix, or for every pair of blocks that its own is part of: key, seq, size, at, bits, side."""
     # No more rows than entries by block; read from storage, so that its size is known when the join is planned.
     hot = sets.select(F.explode("common").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = core.stored(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = sets.select("seq", F.col("n").alias("size"), *more, F.posexplode("prefix").alias("at", "key"))
-    dealt = rows.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ("seq", "size", "at", "bits")
+    rows = core.arrow(sets.select("seq", "n", "bits", "prefix"), _rows_of(keys), "key long, seq long, size long, at long, bits binary")
+    own, other = F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.join(hot, "key").withColumn("own", own).withColumn("other", other)
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "seq", "size", *more, "at", side.alias("side"))
-    return rows.join(hot, "key", "left_anti").select("key", "seq", "size", *more, "at", F.lit(0).alias("side")).unionByName(dealt)
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns, side.alias("side"))
+    return rows.join(hot, "key", "left_anti").select("key", *columns, F.lit(0).alias("side")).unionByName(dealt)
 
 
 def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(seq) of the sets that match a set that begins earlier."""
     places = sets.select("seq", "doc_id", "part", "line")
 
-    def words(asked: DataFrame) -> DataFrame:
+    def words(asked: DataFrame, few: bool) -> DataFrame:
         """(seq, words) of the first lines of sets."""
         by = places.join(asked, "seq").groupBy("doc_id", "part").agg(F.collect_list(F.struct("line", "seq")).alias("lines"))
+        # A list of few lines is read from storage, so that its size is known and texts may stay where they are.
+        by = core.stored(by) if few else by.hint("merge")
         # Repeated rows give the same words.
-        return core.stored(core.arrow(docs.select("doc_id", "part", "text").join(by, ["doc_id", "part"]).select("text", "lines"), _cut, "seq long, words binary").dropDuplicates(["seq"]))
+        return core.arrow(docs.select("doc_id", "part", "text").join(by, ["doc_id", "part"]).select("text", "lines"), _cut, "seq long, words binary").dropDuplicates(["seq"])
 
     def check(pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The later sets of those pairs (seq, to) that reach the threshold."""
         both = pairs.join(held, "seq").join(held.select(F.col("seq").alias("to"), F.col("words").alias("other")), "to")
         return core.stored(core.arrow(both.select("seq", "words", "other"), _verified(threshold), "seq long").distinct())
 
-    def meet(rows: DataFrame, asked: Column, since: int, until: int) -> DataFrame:
-        shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 3)).bitwiseOR(2 * F.col("side").cast("long")).bitwiseOR(asked.cast("long"))
-        rows = rows.select("key", "seq", shape.alias("shape"), "bits").repartition("key").sortWithinPartitions("key")
-        return core.stored(core.arrow(rows, _meetings(threshold, since, until), MET))
+    def meet(sent: DataFrame, since: int, until: int) -> DataFrame:
+        return core.stored(core.arrow(sent.repartition("bucket").sortWithinPartitions("bucket"), _meetings(threshold, since, until), MET))
 
     # Sets of up to three words match equal ones only, which are collapsed already.
     large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1)
-    near = meet(_entries(large, block, "bits"), F.lit(1), 0, 1)
+    wide = F.greatest(F.lit(1.0), F.pow(2.0, F.ceil(F.log2(F.col("n") / (64 * LOAD)))))
+    volume, blocks = large.agg(F.sum((F.floor((1 - threshold) * F.col("n")) + 1) * 8 * (4 + wide)), F.count_if(F.size("common") > 0)).first()
+    # Sets without tokens frequent enough to need blocks are sent as they are, the others as rows.
+    n = max(1, int((volume or 0) // BUCKET))
+    plain, common = large.where(F.size("common") == 0), large.where(F.size("common") > 0)
+    sent = core.arrow(plain.select("seq", "n", "bits", "prefix"), _send_sets(n), ENTRIES)
+    if blocks:
+        rows = _entries(common, block).withColumn("asked", F.lit(1))
+        sent = sent.unionByName(core.arrow(rows.select(*ROW), _send_rows(n), ENTRIES))
+    near = meet(sent, 0, 1)
     best = core.stored(near.groupBy("seq").agg(F.min(F.struct("apart", "to")).alias("best"), (F.max("more") | (F.min("to") < F.max("to"))).alias("more")).select("seq", "best.to", "more"))
-    settled = check(best, words(best.select("seq").union(best.select("to")).distinct()))
+    settled = check(best, words(best.select("seq").union(best.select("to")).distinct(), False))
     open_ = core.stored(best.where("more").select("seq").join(settled, "seq", "left_anti"))
-    members, held, since, until = _entries(large, block), None, 0, GROW
+    members, bits, since, until = None, None, 0, GROW
     while open_.limit(1).count():
         # After the first round, groups without more candidates are done with.
-        groups = (near.where("more") if since else near).join(open_, "seq", "left_semi").select("key").distinct()
-        members = core.stored(members.join(core.stored(groups), "key", "left_semi"))
-        if not since:
-            held = words(members.select("seq").distinct())
-            wider = core.stored(core.arrow(held, _wider(WIDER), "seq long, bits binary"))
-        rows = members.join(wider, "seq").join(open_.withColumn("asked", F.lit(1)), "seq", "left")
-        near = meet(rows, F.coalesce("asked", F.lit(0)), since, until)
-        found = check(near.select("seq", "to").distinct(), held)
+        groups = core.stored((near if members is None else near.where("more")).join(open_, "seq", "left_semi").select("key").distinct())
+        if members is None:
+            # Few keys are looked up by every worker.
+            keys = docs.sparkSession.sparkContext.broadcast(np.sort(groups.toArrow().column(0).to_numpy()).tobytes()) if groups.count() <= FEW else None
+            members = _entries(plain, block, keys)
+            if blocks:
+                members = members.unionByName(_entries(common, block))
+        members = core.stored(members.join(groups, "key", "left_semi"))
+        if until > GROW and bits is None:
+            # These rank anew.
+            since = 0
+            bits = core.stored(core.arrow(words(members.select("seq").distinct(), True), _wider(WIDER), "seq long, bits binary"))
+        rows = members if bits is None else members.drop("bits").join(bits, "seq")
+        rows = core.stored(rows.join(open_.withColumn("asked", F.lit(1)), "seq", "left").withColumn("asked", F.coalesce("asked", F.lit(0))).select(*ROW))
+        volume = rows.agg(F.sum(32 + F.octet_length("bits"))).first()[0]
+        near = meet(core.arrow(rows, _send_rows(max(1, volume // BUCKET)), ENTRIES), since, until)
+        pairs = near.select("seq", "to").distinct()
+        found = check(pairs, words(pairs.select("seq").union(pairs.select("to")).distinct(), True))
         settled = settled.unionByName(found)
         open_ = core.stored(near.where("more").select("seq").distinct().join(found, "seq", "left_anti"))
         since, until = until, until * GROW

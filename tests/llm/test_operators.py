@@ -118,11 +118,13 @@ def test_line_dedup(spark, docs, texts):
     assert all((r.text or "") == want[-1 << 63 if r.doc_id is None else r.doc_id] for r in got)
 
 
-@pytest.mark.parametrize(("grow", "block"), [(32, 1 << 15), (2, 7)])
-def test_line_dedup_undecided_go_on(spark, monkeypatch, grow, block):
+@pytest.mark.parametrize(("grow", "block", "few"), [(32, 1 << 15, 1 << 20), (2, 1 << 15, 0), (2, 7, 0)])
+def test_line_dedup_undecided_go_on(spark, monkeypatch, grow, block, few):
     """Sets whose nearest candidates fail go on to the others, also over blocks."""
     monkeypatch.setattr(line_dedup, "GROW", grow)
     monkeypatch.setattr(line_dedup, "WIDER", grow)
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BUCKET", 1 << 14)
     draw = random.Random(8)
     base = [f"w{i}" for i in range(40)]
     rows = [(k, " ".join(draw.sample(base, 40 - draw.randint(0, 9)) + [f"x{k % 5}"] * (k % 2))) for k in range(150)]
