@@ -5,22 +5,29 @@ a block longer than ``SEGMENT`` bytes is cut into a first record and continuatio
 name the first one's id (WARC-Segment-Origin-ID), count from 1 (WARC-Segment-Number), and the
 last of which states the whole length (WARC-Segment-Total-Length).  Of records with equal
 payloads of at least ``DEDUP`` bytes the one with the smallest id is stored, the others revisit
-it.  Records are gathered into blocks of about ``GATHER`` bytes and files of at most ``FILE`` blocks, plain
+it; which these are is settled on ids and digests alone, payloads are not moved by digest.
+A record's name is made of the row's id and its payload's digest; rows repeated as a whole get a
+random ending besides, and a revisit of such a row names what they have in common.  A revisit states its
+payload's digest and, in an extension field, its length.
+Records are gathered into blocks of about ``GATHER`` bytes and files of at most ``FILE`` blocks, plain
 WARC 1.1 files that any reader takes.
 
 Reader: files are parsed by their headers and content lengths.  Segments are grouped by origin
 id, ordered by number, checked against the stated total and the count from 1 on, joined, and the
-chunked framing is decoded.  Records that are not segmented skip the grouping.
+chunked framing is decoded; records that are not segmented are decoded where they are parsed.  Payloads are held against
+their stated digests.
 
 Defined results: null payloads are empty; a group with a missing, repeated or surplus segment, or
-a wrong total, and a body whose framing is broken, give a record with a null payload and the
-reason in ``problem``; an empty table gives an empty result.  Record ids repeated in the input
-are written and read one by one.
+a wrong total, a body whose framing is broken and a payload that differs from its digest give a record with a null payload and the
+reason in ``problem``; an empty table gives an empty result.  Rows without an id are responses; rows that share an id are
+records of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +36,15 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import core
 
-SEGMENT = 1 << 20
-FRAME = 1 << 14
+SEGMENT = 1 << 13
+FRAME = 1 << 12
 DEDUP = 100
 GATHER = 1 << 21
 FILE = 8
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
+#: Extension field of revisits.
+LENGTH = "X-Payload-Length"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -84,7 +93,7 @@ def records_of(name: str, uri: str, payload: bytes, digest: str, refers_to: str
     common = [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record("revisit", name, [*common, ("WARC-Profile", profile), ("WARC-Refers-To", f"<{refers_to}>"), ("Content-Type", "application/http; msgtype=response")], HTTP)
+        yield record("revisit", name, [*common, (LENGTH, str(len(payload))), ("WARC-Profile", profile), ("WARC-Refers-To", f"<{refers_to}>"), ("Content-Type", "application/http; msgtype=response")], HTTP)
         return
     block = HTTP + chunked(payload)
     whole = len(block) <= segment
@@ -131,8 +140,9 @@ def _write(segment: int):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key, uri, payload, digest, refers = (batch.column(c)[i].as_py() for c in range(5))
-                for x in records_of(f"urn:page:{key}", uri or "", payload or b"", digest, None if refers is None else f"urn:page:{refers}", segment):
+                key, uri, payload, digest, refers, again = (batch.column(c)[i].as_py() for c in range(6))
+                name = f"urn:page:{'none' if key is None else key}:{digest}" + f":{uuid.uuid4().hex}" * again
+                for x in records_of(name, uri or "", payload, digest, None if refers is None else f"urn:page:{refers}:{digest}", segment):
                     held.append(x)
                     size += len(x)
                     if size >= GATHER:
@@ -147,42 +157,90 @@ def _write(segment: int):
 def write(pages: DataFrame, path: str, dedup: int = DEDUP, segment: int = SEGMENT, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
     """Write one or more records for each row to WARC files under ``path``."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= dedup).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = rows.join(first, "digest", "left").select("id", "uri", "payload", "digest", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    light = rows.groupBy("id", "digest", F.octet_length("payload").alias("size")).agg(F.count("*").alias("n"))
+    first = light.where(F.col("size") >= dedup).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("ids")).where("ids > 1").drop("ids")
+    refers = F.when(F.col("first") < F.col("id"), F.col("first"))
+    marked = light.join(first, "digest", "left").select(core.key("id").alias("key"), "digest", refers.alias("refers"), (F.col("n") > 1).alias("again"))
+    # Read from storage, so that its size is known: payloads stay where they are while few rows are marked.
+    marked = core.stored(marked.where("again or refers is not null"))
+    told = rows.withColumn("key", core.key("id")).join(marked, ["key", "digest"], "left").select("id", "uri", "payload", "digest", "refers", F.coalesce("again", F.lit(False)).alias("again"))
     blocks = core.arrow(told, _write(segment), "block binary")
     with core.released(pages.sparkSession):
         blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE).text(path)
 
 
-READ = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("segmented", pa.bool_()), ("block", pa.binary())])
-READ_DDL = "origin string, number int, total long, type string, uri string, digest string, refers_to string, segmented boolean, block binary"
+SEGMENTS = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
+SEGMENTS_DDL = "origin string, number int, total long, type string, uri string, digest string, block binary"
+DECODED = "origin string, type string, uri string, digest string, length long, refers_to string, payload binary, problem string"
+_DECODED = pa.schema([("origin", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary()), ("problem", pa.string())])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def bare(x: str | None) -> str | None:
-        return None if x is None else x.strip("<>")
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, about ``core.CHUNK`` bytes of their binary values in each."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= core.CHUNK or len(held) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
+
+def _bare(x: str | None) -> str | None:
+    return None if x is None else x.strip("<>")
+
+
+def _stated(fields: dict[str, str]) -> str | None:
+    digest = fields.get("warc-payload-digest")
+    return digest and digest.partition(":")[2]
+
+
+def decoded(block: bytes, digest: str | None) -> tuple[bytes | None, str | None]:
+    """(payload, problem) of a response's block."""
+    try:
+        payload = payload_of(block)
+    except ValueError as error:
+        return None, str(error)
+    if digest and hashlib.sha256(payload).hexdigest() != digest:
+        return None, "payload differs from its digest"
+    return payload, None
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], bytes]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            out: dict[str, list] = {k: [] for k in READ.names}
-            size = 0
-            for f, block in parse(batch.column(0)[i].as_py()):
-                kind = f.get("warc-type")
-                if kind not in ("response", "revisit", "continuation"):
-                    continue
-                number = int(f.get("warc-segment-number", 1))
+            yield from parse(batch.column(0)[i].as_py())
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files to the records that are not segmented."""
+
+    def rows() -> Iterator[tuple]:
+        for f, block in _records(batches):
+            kind = f.get("warc-type")
+            if kind in ("response", "revisit") and "warc-segment-number" not in f:
+                payload, problem = decoded(block, _stated(f)) if kind == "response" else (None, None)
+                length = len(payload) if payload is not None else int(f[LENGTH.lower()]) if LENGTH.lower() in f else None
+                yield _bare(f["warc-record-id"]), kind, f.get("warc-target-uri"), _stated(f), length, _bare(f.get("warc-refers-to")), payload, problem
+
+    return _batched(rows(), _DECODED)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files to the segments of segmented records."""
+
+    def rows() -> Iterator[tuple]:
+        for f, block in _records(batches):
+            kind = f.get("warc-type")
+            if kind == "continuation" or kind == "response" and "warc-segment-number" in f:
                 total = f.get("warc-segment-total-length")
-                name = bare(f["warc-segment-origin-id"] if kind == "continuation" else f["warc-record-id"])
-                digest = f.get("warc-payload-digest")
-                for k, v in zip(out, (name, number, int(total) if total else None, kind, f.get("warc-target-uri"), digest and digest.partition(":")[2], bare(f.get("warc-refers-to")), "warc-segment-number" in f, block), strict=True):
-                    out[k].append(v)
-                size += len(block)
-                if size >= core.CHUNK:
-                    yield pa.RecordBatch.from_pydict(out, schema=READ)
-                    out, size = {k: [] for k in out}, 0
-            yield pa.RecordBatch.from_pydict(out, schema=READ)
+                origin = _bare(f["warc-segment-origin-id"] if kind == "continuation" else f["warc-record-id"])
+                yield origin, int(f.get("warc-segment-number", 1)), int(total) if total else None, kind, f.get("warc-target-uri"), _stated(f), block
+
+    return _batched(rows(), SEGMENTS)
 
 
 def reassemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -196,57 +254,42 @@ def reassemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-DECODED = "origin string, type string, uri string, digest string, refers_to string, payload binary, problem string"
-_DECODED = pa.schema([("origin", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("problem", pa.string())])
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """origin, type, uri, digest, parts (number, total, block) -> records."""
 
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, kind, uri, digest, parts = (batch.column(c)[i].as_py() for c in range(5))
+                payload, problem = None, None
+                try:
+                    block = reassemble([(p["number"], p["total"], p["block"]) for p in parts])
+                    payload, problem = decoded(block, digest) if kind else (None, "segments without a first record")
+                except ValueError as error:
+                    problem = str(error)
+                yield name, kind, uri, digest, None if payload is None else len(payload), None, payload, problem
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """origin, type, uri, digest, refers_to, parts (number, total, block) -> payloads."""
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in _DECODED.names}
-        size = 0
-        for i in range(batch.num_rows):
-            name, kind, uri, digest, refers, parts = (batch.column(c)[i].as_py() for c in range(6))
-            payload, problem = None, None
-            try:
-                block = parts[0]["block"] if len(parts) == 1 and not parts[0]["segmented"] else reassemble([(p["number"], p["total"], p["block"]) for p in parts])
-                if kind == "response":
-                    payload = payload_of(block)
-                elif kind is None:
-                    raise ValueError("segments without a first record")
-            except ValueError as error:
-                problem = str(error)
-            for k, v in zip(out, (name, kind, uri, digest, refers, payload, problem), strict=True):
-                out[k].append(v)
-            size += len(payload or b"")
-            if size >= core.CHUNK:
-                yield pa.RecordBatch.from_pydict(out, schema=_DECODED)
-                out, size = {k: [] for k in out}, 0
-        yield pa.RecordBatch.from_pydict(out, schema=_DECODED)
+    return _batched(rows(), _DECODED)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response or revisit record: origin (record id), type, uri, digest, refers_to, payload, problem."""
+    """One row per response or revisit record: origin (record id), type, uri, digest, length, refers_to, payload, problem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    rows = core.stored(core.arrow(files, _parse, READ_DDL))
-    part = F.struct("number", "total", "segmented", "block")
-    alone = rows.where("not segmented and type <> 'continuation'").select("origin", "type", "uri", "digest", "refers_to", F.array(part).alias("parts"))
+    whole = core.arrow(files, _whole, DECODED)
     # One record's segments are grouped: no more than a page's payload.
-    first = {c: F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c) for c in ("type", "uri", "digest", "refers_to")}
-    joined = rows.where("segmented or type = 'continuation'").groupBy("origin").agg(*first.values(), F.collect_list(part).alias("parts"))
-    return core.arrow(alone.unionByName(joined), _decode, DECODED)
+    head = {c: F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c) for c in ("type", "uri", "digest")}
+    groups = core.arrow(files, _segments, SEGMENTS_DDL).groupBy("origin").agg(*head.values(), F.collect_list(F.struct("number", "total", "block")).alias("parts"))
+    return whole.unionByName(core.arrow(groups.select("origin", "type", "uri", "digest", "parts"), _joined, DECODED))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = core.shared_folder(spark)
     write(core.documents(spark, sf_dir, "pages"), path)
     rows = read(spark, path)
-    ids = F.regexp_extract("origin", "(-?[0-9]+)$", 1).cast("long")
-    rows = core.stored(rows.select(ids.alias("page_id"), "type", F.regexp_extract("refers_to", "(-?[0-9]+)$", 1).cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha")))
-    kept = rows.where("type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("n").alias("to_n"), F.max("sha").alias("to_sha"))
-    revisits = rows.where("type = 'revisit'").join(kept, "refers_to", "left").select("page_id", F.col("to_n").alias("payload_bytes"), F.col("to_sha").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    responses = rows.where("type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return responses.unionByName(revisits)
+    page = lambda name: F.nullif(F.regexp_extract(name, "^urn:page:(-?[0-9]+):", 1), F.lit("")).cast("long")
+    # Of a response both are taken from the payload that was read.
+    digest = F.when(F.col("type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
+    return rows.select(page("origin").alias("page_id"), F.col("length").alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
 OP1_SQL = """

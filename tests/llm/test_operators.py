@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from lexloom.llm import core, fingerprint, jaccard_join, langid, line_dedup, linking, media, mixing, packing, suffix_dedup, url_rules, warc
 
 
+def prose(draw, n):
+    return " ".join("".join(draw.choice(["ra", "ti", "on", "el", "ku", "sh"]) for _ in range(draw.randint(1, 4))) for _ in range(n))
+
+
 def words(t):
     return re.findall("[^\x20\x09-\x0d]+", t or "")
 
@@ -66,14 +70,42 @@ def test_warc_round_trip(spark):
     pages = [(1, "http://a", None), (2, None, ""), (3, "x y\r\nz", big), (4, "u", big), (5, "u", "WARC/1.1\r\n\r\n0\r\n\r\n"), (6, "u", "short"), (7, "u", "short"), (-3, "u", "y" * 100), (None, "u", big)]
     path = core.shared_folder(spark)
     warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), path, segment=700)
-    got = {r.origin.removeprefix("urn:page:"): r for r in warc.read(spark, path).collect()}
+    got = {r.origin.split(":")[2]: r for r in warc.read(spark, path).collect()}
     assert len(got) == len(pages) and not [r.problem for r in got.values() if r.problem]
-    assert got["4"].type == "revisit" and got["4"].refers_to == "urn:page:3" and got["4"].payload is None
-    assert bytes(got["3"].payload).decode() == big and got["6"].type == got["7"].type == "response" and bytes(got["5"].payload).startswith(b"WARC")
+    assert got["4"].type == "revisit" and got["4"].refers_to == got["3"].origin and got["4"].payload is None and got["4"].length == 6000
+    assert bytes(got["3"].payload).decode() == big and got["6"].type == got["7"].type == got["none"].type == "response" and bytes(got["5"].payload).startswith(b"WARC")
     files = spark.read.format("binaryFile").load(path).collect()
     assert all(list(warc.parse(bytes(f.content))) for f in files)
 
 
+def test_warc_query(spark, tmp_path):
+    """Null and repeated ids, payloads of several segments, clashing columns: against the definition."""
+    draw = random.Random(5)
+    long, other = prose(draw, 9000), prose(draw, 12000)
+    html = [(1, long), (1, other), (2, long), (2, long), (None, long), (None, other), (None, None), (3, "ü" * 49 + "ab"), (4, "ü" * 49 + "ab"), (5, "ü" * 49), (6, "ü" * 49), (1, "x"), (0, other)]
+    rows = [(i, f"http://h/{k}", h, "k", "d", 1) for k, (i, h) in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, key string, digest string, id int").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    want = Counter()
+    for i, h in html:
+        data = (h or "").encode()
+        first = min((x for x, y in html if (y or "") == (h or "") and x is not None), default=None)
+        again = i is not None and len(data) >= 100 and first < i
+        want[i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None] += 1
+    assert Counter(map(tuple, warc.op1_warc(spark, str(tmp_path)).collect())) == want
+
+
+def test_warc_broken_records_are_told():
+    block = warc.HTTP + warc.chunked(b"abc")
+    assert warc.decoded(block, hashlib.sha256(b"abc").hexdigest()) == (b"abc", None)
+    assert warc.decoded(block, hashlib.sha256(b"abd").hexdigest()) == (None, "payload differs from its digest")
+    assert warc.decoded(block[:-3], None)[0] is None
+
+
+def test_pages_cross_segments(spark):
+    pages = core.documents(spark, "/root/testdata/sf0.01", "pages")
+    assert pages.where(F.octet_length("html") > warc.SEGMENT).count() > 5
+
+
 def test_warc_empty(spark):
     path = core.shared_folder(spark)
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
