@@ -8,13 +8,15 @@ sequence's limit.  The low ``BITS`` bits of each bin are packed.  Likeness is th
 equal bins, corrected for the ``2**-BITS`` chance that different values agree.
 
 Defined results: null texts are empty; texts without words have the fingerprint of no shingle
-(all zero bits), likeness 1 to each other and 0 to others; repeated ids follow each other in the order
-of their texts, and a single row is its own next document; an empty table gives an empty result.
+(all zero bits), likeness 1 to each other and 0 to others; rows that share an id or have none (these come first) follow each other in the order
+of hashes of their texts, and a single row is its own next document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,8 +28,9 @@ WORDS = 5
 BINS = 128
 BITS = 8
 PROBES = 24
-#: Ranges of ids that are ordered on their own; the number does not depend on the input.
-RANGES = 512
+#: Bytes of text in a range of ids that is ordered on its own, and the most ranges that are cut.
+RANGE = 1 << 22
+RANGES = 1 << 16
 
 
 def _sequences(bins: int, probes: int) -> list[list[int]]:
@@ -91,32 +94,60 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(both)
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str], enrich: Callable[[DataFrame], DataFrame], ranges: int = RANGES) -> DataFrame:
+def _cuts(rows: DataFrame, id_col: str, text_col: str, size: int) -> list[int]:
+    """Quantiles of the ids, repeated where one id fills several ranges of about ``size`` bytes."""
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ranges = min(RANGES, -(-total // size))
+    if ranges < 2:
+        return []
+    return rows.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10000, 4 * ranges))).first()[0] or []
+
+
+def _range_of(cuts: list[int], key: Column, hashed: Column) -> Column:
+    """Number of a row's range, in the order of ids and, within an id that fills several, of hashes."""
+    limits = sorted(set(cuts))
+    step = max(1, math.isqrt(len(limits)))
+    parts = [limits[i : i + step] for i in range(0, len(limits), step)]
+    if not limits:
+        return F.lit(0).cast("long")
+    below = lambda values: F.size(F.filter(values, lambda c: c < key))
+    # The last limit of each part, then the limits of one part.
+    part = below(_literal(x[-1] for x in parts).cast("array<bigint>"))
+    inner = F.get(_literal(f"array({', '.join(map(str, x))})" for x in parts).cast("array<array<bigint>>"), part)
+    place = part * step + F.when(part < len(parts), below(inner)).otherwise(0)
+    often = {v: n for v, n in Counter(cuts).items() if n > 1}
+    if not often:
+        return F.shiftleft(place.cast("long"), 32)
+    at = F.array_position(_literal(often).cast("array<bigint>"), key)
+    share = (F.shiftright(hashed, 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
+    inside = F.when(at > 0, 1 + F.floor(share * F.get(_literal(often.values()), (at - 1).cast("int")))).otherwise(0)
+    return F.shiftleft(place.cast("long"), 32) + inside
+
+
+def with_next(rows: DataFrame, id_col: str, columns: list[str], enrich: Callable[[DataFrame], DataFrame], size: int = RANGE) -> DataFrame:
     """``enrich(rows)`` with next_<c> of the following row by id, the first row's for the last.
 
-    Ids are cut at quantiles into ``ranges`` ranges; each is ordered on its own, ended by a copy of the row that opens the next one.
+    Ids are cut at quantiles into ranges, as many as the volume of the first column's text asks for; each is ordered
+    on its own, ended by a copy of the row that opens the next one.
     """
     spark = rows.sparkSession
-    cuts = rows.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    limits = _literal(cuts).cast("array<bigint>")
-    placed = rows.withColumn("_range", F.size(F.filter(limits, lambda c: c < F.col(id_col))))
-    heads = placed.groupBy("_range").agg(F.min(id_col).alias("head")).collect()  # one row for each range
-    heads = sorted((r["_range"], r["head"]) for r in heads)
-    follow = [(r, heads[(k + 1) % len(heads)][1]) for k, (r, _) in enumerate(heads)]
-    known = spark.createDataFrame(follow, "to int, head bigint")
-    opening = F.broadcast(known)  # no more rows than ranges
-    ends = rows.join(opening, rows[id_col].eqNullSafe(opening["head"])).select(*rows.columns, F.col("to").alias("_range"), F.lit(1).alias("_end"))
+    rows = rows.withColumn("_hash", F.xxhash64(columns[0]))
+    placed = rows.withColumn("_range", _range_of(_cuts(rows, id_col, columns[0], size), F.col(id_col), F.col("_hash")))
+    heads = placed.groupBy("_range").agg(F.min(F.struct(id_col, "_hash")).alias("head")).collect()  # one row for each range
+    heads = sorted((r["_range"], *r["head"]) for r in heads)
+    follow = [(r, *heads[(k + 1) % len(heads)][1:]) for k, (r, *_) in enumerate(heads)]
+    opening = F.broadcast(spark.createDataFrame(follow, "_range bigint, _id bigint, _h bigint"))  # no more rows than ranges
+    ends = rows.join(opening, (F.col(id_col) == F.col("_id")) & (F.col("_hash") == F.col("_h"))).select(*rows.columns, "_range", F.lit(1).alias("_end"))
     both = enrich(placed.select(*rows.columns, "_range", F.lit(0).alias("_end")).unionByName(ends))
-    window = Window.partitionBy("_range").orderBy("_end", F.col(id_col).asc_nulls_first(), columns[0])
+    window = Window.partitionBy("_range").orderBy("_end", id_col, "_hash", columns[0])
     lead = F.lead(F.struct(*columns)).over(window)
-    return both.withColumn("_next", lead).where("_end = 0").drop("_range", "_end").select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
+    return both.withColumn("_next", lead).where("_end = 0").drop("_range", "_end", "_hash").select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RANGE) -> DataFrame:
     """doc_id, text, edited and the fingerprints (arrays of bins) of the text, the edited text and the next document's text."""
     rows = docs.select(core.key(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, "doc_id", ["text", "bins"], lambda r: with_fingerprint(r, "text", "bins"))
+    rows = with_next(rows, "doc_id", ["text", "bins"], lambda r: with_fingerprint(r, "text", "bins"), size)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).drop("next_text")

@@ -128,10 +128,11 @@ def _round(cap: float):
 
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken and the rate that was rounded."""
-    sizes = core.stored(docs.select(core.key(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
+    # Rows that share an id or have none are told apart, and dealt, by their texts.
+    sizes = core.stored(docs.select(core.key(id_col).alias("doc_id"), F.xxhash64(core.key(id_col), F.col(text_col)).alias("key"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
     state = balance(sizes, targets(sizes, weights, total, cap), cap)
     joined = sizes.alias("d").join(state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rows = joined.select("d.doc_id", F.xxhash64("d.doc_id").alias("key"), F.col("d.source").alias("source"), "d.size", "source_size", "target", rate(F.col("d.size"), F.col("mean"), F.col("tilt"), cap).alias("rate"), F.ceil(F.col("n_docs") / F.lit(PART)).alias("parts"))
+    rows = joined.select("d.doc_id", "d.key", F.col("d.source").alias("source"), "d.size", "source_size", "target", rate(F.col("d.size"), F.col("mean"), F.col("tilt"), cap).alias("rate"), F.ceil(F.col("n_docs") / F.lit(PART)).alias("parts"))
     # Large sources are rounded in parts of bounded size.
     rows = rows.withColumn("dealt", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.pmod(F.xxhash64("key"), F.col("parts"))))
     core.ship(docs.sparkSession)

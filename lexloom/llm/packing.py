@@ -1,6 +1,6 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt at random (by a hash of their id) into groups of about ``GROUP``
+Documents are dealt at random (by a hash of id and text) into groups of about ``GROUP``
 documents; each group is packed on its own.  A document's ids are cut every ``LIMIT`` ids;
 full pieces are sequences of their own and only the remainders are shuffled and packed by
 first-fit decreasing.  As documents may be cut freely, the emptiest bins of a group are
@@ -211,7 +211,7 @@ def _packed(limit: int):
 def pack(docs: DataFrame, path: str, limit: int = LIMIT, group: int = GROUP, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where each run of a document's ids stands in which sequence."""
     groups = max(1, -(-docs.count() // group))
-    dealt = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(core.key(id_col)), F.lit(groups)).alias("group"))
+    dealt = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(core.key(id_col), F.col(text_col)), F.lit(groups)).alias("group"))
     pieces = core.arrow(dealt, _pieces(path, limit, end_id), "group long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     packed = core.arrow(pieces.repartition("group").sortWithinPartitions("group", "doc_id", "start"), _packed(limit), PACKED)
     return packed.withColumn("doc_id", *core.shown("doc_id"))
