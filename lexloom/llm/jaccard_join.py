@@ -2,15 +2,15 @@
 
 Each text becomes its set of five-word shingles (a text of fewer words has one shingle of all
 its words); equal sets are one *class*, represented by its smallest id.  A class is embedded
-into ``HASHES`` MinHash tokens (position, value).  In each of ``RUNS`` independent runs a node
-of the path tree picks positions at random, ``BRANCH`` on average, and a class goes down to the child named
+into ``HASHES`` MinHash tokens (position, value).  In each of several independent runs a node
+of the path tree picks positions at random, ``BRANCH`` (the threshold's inverse) on average, and a class goes down to the child named
 by its value there: classes meet in a bucket if they share all tokens sampled on the way.
-Small buckets are compared by brute force over the tokens; larger ones are split again, down to
+Buckets of up to ``SMALL`` classes are compared by brute force over the tokens; larger ones are split again, down to
 ``DEPTH`` picks, where what is left is compared in blocks.  Runs are repeated until a pair at the
-threshold meets with the target recall (see ``recall``).  Comparison keeps only edges of a
+threshold meets with the target recall ``TARGET`` (see ``recall``).  Comparison keeps only edges of a
 spanning forest of pairs whose estimated similarity is within ``SLACK`` of the threshold, so no
 bucket emits all its pairs; the connected components of these edges hold all candidates, and
-inside them every pair of classes is verified on the whole shingle sets, in blocks.
+inside them every pair of classes is verified on the whole shingle sets, in blocks of ``SETS`` shingles.
 
 Defined results: null texts and texts without words have no shingles and link to nothing, each
 a class of its own; repeated rows and equal texts share a class; rows that share an id or have none
@@ -20,7 +20,7 @@ representatives go to the smallest id.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +33,14 @@ from lexloom.llm import core, linking
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 64
-BRANCH = 2
-DEPTH = 4
-RUNS = 8
-SMALL = 4096
+BRANCH = 1 / THRESHOLD
+DEPTH = 3
+TARGET = 0.99
+SMALL = 64
 SLACK = 0.2
-#: Rows of a block at the deepest level, and classes of a block in verification.
+#: Rows of a block at the deepest level, and shingles of a block in verification.
 BLOCK = 4096
-SETS = 256
+SETS = 1 << 21
 
 _MUL = core.seeded(11, HASHES) | np.uint64(1)
 _ADD = core.seeded(12, HASHES)
@@ -61,7 +61,7 @@ def _children(paths: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(row, child path): positions are picked by the path alone, with probability BRANCH / HASHES each, so all classes at a node pick alike."""
     rows, out = [], []
     for i in range(HASHES):
-        chosen = np.flatnonzero(core.mix(paths + core._STEP[1] * np.uint64(2 * i + 1)) % np.uint64(HASHES) < np.uint64(BRANCH))
+        chosen = np.flatnonzero(core.mix(paths + core._STEP[1] * np.uint64(2 * i + 1)) >> np.uint64(32) < np.uint64(BRANCH / HASHES * (1 << 32)))
         rows.append(chosen)
         out.append(core.mix(paths[chosen] * core._STEP[2] + sig[chosen, i].astype(np.uint64) + np.uint64(i << 32)))
     return np.concatenate(rows), np.concatenate(out)
@@ -75,9 +75,14 @@ def survival(similarity: float, depth: int) -> float:
     return alive
 
 
-def recall(similarity: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH) -> float:
+def runs_for(target: float = TARGET, similarity: float = THRESHOLD, depth: int = DEPTH) -> int:
+    """Runs until a pair of that similarity meets at the deepest level with the target chance."""
+    return math.ceil(math.log(1 - target) / math.log(1 - survival(similarity, depth)))
+
+
+def recall(similarity: float = THRESHOLD, runs: int | None = None, depth: int = DEPTH) -> float:
     """Chance that some run lets a pair meet at the deepest level; pairs that meet in a small bucket earlier have a better one."""
-    return 1 - (1 - survival(similarity, depth)) ** runs
+    return 1 - (1 - survival(similarity, depth)) ** (runs or runs_for())
 
 
 _ROOTS = core.seeded(13, 4096)
@@ -190,7 +195,7 @@ def _blocks(rows: DataFrame, key: str, count: str, size: int, by: str) -> DataFr
     return dealt.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
-def candidates(classes: DataFrame, threshold: float, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float, runs: int, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """Edges (u, v) whose components hold every pair of classes (rep, sig) that met on a path and may reach the threshold."""
     # Sets without shingles are no candidates.
     sigs = classes.where("size > 0").select("rep", "sig")
@@ -280,7 +285,7 @@ def part(text_col: str = "text") -> Column:
     return F.xxhash64(F.col(text_col))
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int | None = None, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and part of the row, rep and n_copies of its class, lead (the smallest id and part
     that is reached over links) and n_links."""
     rows = docs.select(core.key(id_col).alias("id"), F.col(text_col).alias("text"), part(text_col).alias("part"))
@@ -292,10 +297,10 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, ru
     named = named.select("k1", "k2", F.xxhash64("k1", "k2").alias("node"), "first", "n_copies")
     classes = core.stored(sketch.join(named, ["k1", "k2"]).drop("k1", "k2"))
     reps = classes.where("id = first.id and part = first.part").dropDuplicates(["node"])
-    parts = linking.components(candidates(reps.select(F.col("node").alias("rep"), "size", "sig"), threshold, runs, small=small))
-    sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")), "component")
-    dealt = _blocks(sized.withColumnRenamed("id", "rep"), "component", "n", block, "rep")
-    dealt = dealt.join(reps.select(F.col("node").alias("rep"), "id", "part"), "rep")
+    parts = linking.components(candidates(reps.select(F.col("node").alias("rep"), "size", "sig"), threshold, runs or runs_for(), small=small))
+    sized = parts.withColumnRenamed("id", "rep").join(reps.select(F.col("node").alias("rep"), "id", "part", "size"), "rep")
+    # Blocks are as large as a worker holds, so that a text is sent to few pairs of them.
+    dealt = _blocks(sized.join(sized.groupBy("component").agg(F.sum("size").alias("n")), "component"), "component", "n", block, "rep")
     # Texts are dealt by id and part at every size; the plan does not turn on how many candidates there are.
     held = dealt.join(rows.hint("merge"), ["id", "part"]).select("component", "i", "j", "own", "rep", "text")
     found = core.arrow(held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "rep"), _verify(words, threshold), "rep long, near long, n_links long")
@@ -309,7 +314,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, ru
     return out.select("id", "part", F.col("first.id").alias("rep"), "n_copies", F.coalesce("lead", "first").alias("lead"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int | None = None, small: int = SMALL, block: int = SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_class (smallest id with the same shingles), n_copies, class_id (smallest id
     that is reached over links) and n_links (other classes at or above the threshold)."""
     out = joined(docs, threshold, words, runs, small, block, id_col, text_col)
