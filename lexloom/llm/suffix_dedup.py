@@ -6,8 +6,8 @@ same or another document; matches never cross documents.
 Which places can hold equal windows is found by anchors: of the ``GRAM``-byte strings in a
 window the one with the smallest hash (leftmost on ties) is the window's anchor, so equal
 windows have equal anchors at equal distances, and windows next to each other mostly share one.
-An anchor occurrence with all windows that it serves is a *context*, identified by 128 bits of hashes.
-Anchors that occur once are dropped.  Contexts that occur more than once are repeated as a
+An anchor occurrence with all windows that it serves is a *context*, identified by a cryptographic 128-bit digest of its bytes.
+Anchors that occur once are dropped.  Contexts of equal bytes that occur more than once are repeated as a
 whole.  Contexts that occur once, but whose anchor has others, are resolved: their windows are
 sorted as suffixes, by a mergesort that compares two suffixes through prefix polynomial hashes
 and a binary search for their common extension, and neighbours that agree over a window are
@@ -15,8 +15,8 @@ verified byte by byte.  An anchor with more than ``HOT`` different contexts is s
 the bytes that blocks of its windows have in common.
 
 Defined results: null texts are empty; texts under a window lose nothing of their own; repeated
-rows are places of their own, so they lose all that windows cover; an empty table gives an
-empty result.
+rows are places of their own, so they lose all that windows cover; rows that share an id or have
+none are told apart by 64-bit hashes of their texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,14 +39,15 @@ HOT = 4096
 BLOCK = 22
 #: Bytes of contexts resolved together, unless one group has more.
 HELD = 1 << 19
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places in a buffer; longer texts than this Arrow does not hold.
+_PLACE = np.uint64((1 << 31) - 1)
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(row, first window, last window, anchor, anchor hash, context hash) for the runs of windows that share an anchor."""
+    """(row, first window, last window, anchor, anchor hash) for the runs of windows that share an anchor."""
     count = np.maximum(0, np.diff(offs) - window + 1)
     if not count.sum():
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     h = core.prefix_hash(buf)
     n = len(buf) - gram + 1
     code = core.mix((h[gram:] - h[:n]) * core.powers(n, "down"))
@@ -62,8 +63,14 @@ def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int =
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])]))
     last = start[np.concatenate([new[1:], [len(start)]]) - 1]
     first, at, row = start[new], least[new], row[new]
-    shape = ((at - first) * window + (last - first)).astype(np.uint64)
-    return row, first, last, at, code[at], core.mix(core.span_hash(h, first, last + window) + shape * np.uint64(0xD6E8FEB86659FD93))
+    return row, first, last, at, code[at]
+
+
+def digests(buf: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """Two numbers for each context: 128 bits that stand for its bytes."""
+    data = memoryview(np.ascontiguousarray(buf))
+    out = b"".join(hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip(first.tolist(), (last + window).tolist(), strict=True))
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def _anchors(window: int):
@@ -71,12 +78,22 @@ def _anchors(window: int):
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, buf, offs in core.chunks(batch.column(2)):
-                row, first, last, anchor, code, context = anchors(buf, offs, window)
+                row, first, last, anchor, code = anchors(buf, offs, window)
                 if len(row):
+                    digest = digests(buf, first, last, window)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(code.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[at + row], pa.int64()), pa.array(parts[at + row], pa.int32()),
+                        pa.array(code.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(ids[at + row], pa.int64()), pa.array(parts[at + row], pa.int64()),
                         pa.array((first - offs[row]).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32)),
-                    ], names=["h", "c", "doc_id", "part", "start", "run", "left"])
+                    ], names=["h", "c", "d", "doc_id", "part", "start", "run", "left"])
+
+    return run
+
+
+def _codes(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offs in core.chunks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(buf, offs, window)[4].view(np.int64))], names=["h"])
 
     return run
 
@@ -182,8 +199,8 @@ def _contexts(window: int, block: int):
     return run
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("block", pa.int32()), ("sub", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("run", pa.int32()), ("left", pa.int32()), ("once", pa.bool_()), ("bytes", pa.binary())])
-CONTEXT_DDL = "h long, block int, sub long, doc_id long, part int, start int, run int, left int, once boolean, bytes binary"
+CONTEXT = pa.schema([("h", pa.int64()), ("block", pa.int32()), ("sub", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("run", pa.int32()), ("left", pa.int32()), ("once", pa.bool_()), ("bytes", pa.binary())])
+CONTEXT_DDL = "h long, block int, sub long, doc_id long, part long, start int, run int, left int, once boolean, bytes binary"
 
 
 def _resolve(window: int):
@@ -208,7 +225,7 @@ def _resolve(window: int):
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window)]))
         last = np.concatenate([new[1:], [len(row)]]) - 1
         ids, part = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(ids[row[new]], pa.int64()), pa.array(part[row[new]], pa.int32()), pa.array(at[new].astype(np.int32)), pa.array((at[last] + window).astype(np.int32))], names=["doc_id", "part", "from", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[row[new]], pa.int64()), pa.array(part[row[new]], pa.int64()), pa.array(at[new].astype(np.int32)), pa.array((at[last] + window).astype(np.int32))], names=["doc_id", "part", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number, size, groups = [], [], 0, 0
@@ -260,16 +277,17 @@ REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 def intervals(rows: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc_id, part, from, to): byte ranges covered by repeated windows, for rows (doc_id, part, text)."""
-    places = core.arrow(rows, _anchors(window), "h long, c long, doc_id long, part int, start int, run int, left int")
-    often = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = core.stored(places.join(often, "h"))
-    kinds = places.groupBy("h", "c", "run", "left").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("part").alias("part"), F.first("start").alias("start"))
-    kinds = core.stored(kinds)
-    whole = places.join(kinds.where("n > 1").select("h", "c", "run", "left"), ["h", "c", "run", "left"]).select("doc_id", "part", F.col("start").alias("from"), (F.col("start") + F.col("run") + window).alias("to"))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1 and single > 0").select("h", (F.col("kinds") > hot).alias("hot"))
-    asked = kinds.join(mixed, "h").groupBy("doc_id", "part").agg(F.collect_list(F.struct("h", "start", "run", "left", (F.col("n") == 1).alias("once"), "hot")).alias("asked"))
+    places = core.arrow(rows, _anchors(window), "h long, c long, d long, doc_id long, part long, start int, run int, left int")
+    # Tables of one row for each anchor are stored before they are joined, so that a hot anchor's places can be split.
+    often = core.stored(core.arrow(rows.select("text"), _codes(window), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    places = core.stored(places.join(often.hint("merge"), "h"))
+    kind = ["h", "c", "d", "run", "left"]
+    kinds = core.stored(places.groupBy(*kind).agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("part").alias("part"), F.first("start").alias("start")))
+    whole = places.join(kinds.where("n > 1").select(*kind).hint("merge"), kind).select("doc_id", "part", F.col("start").alias("from"), (F.col("start") + F.col("run") + window).alias("to"))
+    mixed = core.stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1 and single > 0").select("h", (F.col("kinds") > hot).alias("hot")))
+    asked = kinds.join(mixed.hint("merge"), "h").groupBy("doc_id", "part").agg(F.collect_list(F.struct("h", "start", "run", "left", (F.col("n") == 1).alias("once"), "hot")).alias("asked"))
     contexts = core.arrow(rows.dropDuplicates(["doc_id", "part"]).join(asked, ["doc_id", "part"]).select("doc_id", "part", "text", "asked"), _contexts(window, BLOCK), CONTEXT_DDL)
-    parted = core.arrow(contexts.repartition("h", "block", "sub").sortWithinPartitions("h", "block", "sub", "doc_id", "part", "start"), _resolve(window), "doc_id long, part int, from int, to int")
+    parted = core.arrow(contexts.repartition("h", "block", "sub").sortWithinPartitions("h", "block", "sub", "doc_id", "part", "start"), _resolve(window), "doc_id long, part long, from int, to int")
     return whole.unionByName(core.stored(parted))
 
 
@@ -277,8 +295,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the bytes that stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Rows that share an id are told apart by their texts.
-    rows = docs.select(core.key(id_col).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("part"), text.alias("text"))
-    found = intervals(rows, window, hot).groupBy("doc_id", "part").agg(F.collect_list(F.struct("from", "to")).alias("found"))
+    rows = docs.select(core.key(id_col).alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
+    # Repeated rows have the same intervals, each once.
+    found = intervals(rows, window, hot).groupBy("doc_id", "part").agg(F.collect_set(F.struct("from", "to")).alias("found"))
     out = core.arrow(rows.join(found, ["doc_id", "part"], "left").select("doc_id", "text", "found"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", *core.shown("doc_id"))
 

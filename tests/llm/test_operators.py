@@ -436,6 +436,26 @@ def test_suffix_dedup(docs, texts, hot):
     assert got == want and sum(k[1] for k in want) > 1000
 
 
+def test_suffix_dedup_shared_ids(spark):
+    """Rows without ids or of one id lose their own repeated bytes; many equal rows stay linear."""
+    draw = random.Random(14)
+    a, b, c = prose(draw, 90), prose(draw, 120), prose(draw, 80)
+    rows = [(None, a + " x1 " + b), (None, c), (None, "y2 " + b), (5, c + " z"), (5, "own " + prose(draw, 60)), (None, "")] + [(8, a)] * 40
+    places = Counter(t[p : p + 200] for _, t in rows for p in range(len(t) - 199))
+    want = Counter()
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 199):
+            if places[t[p : p + 200]] > 1:
+                gone[p : p + 200] = b"\1" * 200
+        want[i, sum(gone), len(re.findall(b"\1+", bytes(gone)))] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(frame).collect()) == want
+    found = frame.select(core.key("doc_id").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
+    per_row = suffix_dedup.intervals(found).groupBy("doc_id", "part").agg(F.count_distinct("from", "to").alias("n")).agg(F.max("n")).first()[0]
+    assert per_row < 20
+
+
 def test_suffix_order():
     draw = random.Random(5)
     data = np.frombuffer("".join(draw.choice("ab") for _ in range(900)).encode(), np.uint8)
