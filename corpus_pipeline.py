@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from lexloom.llm import core, jaccard_join, langid, line_dedup, mixing, packing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document stays if at least this share of its letters' words is in one language.
-LEAST_SCORE = 0.5
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -26,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language; the others get the predicted one."""
     model = langid.train(docs.where(~langid.held_out()))
     named = langid.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return named.where(F.col("lang_pred") != "und").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
