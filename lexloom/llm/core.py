@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexloom.cluster import ship
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)

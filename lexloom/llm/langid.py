@@ -31,7 +31,7 @@ SWITCH = 12.0
 MIN_SCRIPT_SHARE = 0.002
 OUT_OF_SCRIPT = -25.0
 #: Words times languages held by a worker at a time.
-CELLS = 1 << 23
+CELLS = 1 << 20
 #: First code point of each script range and the script it starts (0: no letters of a script).
 SCRIPT_FROM = [0x0, 0x41, 0x5B, 0x61, 0x7B, 0xAA, 0xAB, 0xB5, 0xB6, 0xBA, 0xBB, 0xC0, 0xD7, 0xD8, 0xF7, 0xF8, 0x2B0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0x4DC0, 0x4E00, 0xA000, 0xAC00, 0xD7B0]
 SCRIPT_OF = [0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 2, 3, 0, 4, 5, 0, 6, 0, 7, 0, 8, 0, 1, 2, 0, 9, 0, 10, 0, 10, 0, 8, 0]

@@ -386,11 +386,25 @@ def _verified(threshold: float):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked lines of documents, as bytes: text, lines (line, seq) -> seq, words."""
+    seq: list[int] = []
+    words: list[bytes] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"seq": pa.array(seq, pa.int64()), "words": pa.array(words, pa.binary())})
+
     for batch in batches:
         for text, asked in zip(batch.column(0), batch.column(1), strict=True):
             parts = (text.as_py() or "").encode().split(b"\n")
-            rows = asked.as_py()
-            yield pa.RecordBatch.from_pydict({"seq": pa.array([x["seq"] for x in rows], pa.int64()), "words": pa.array([b" ".join(parts[x["line"]].split()) for x in rows], pa.binary())})
+            for x in asked.as_py():
+                seq.append(x["seq"])
+                words.append(b" ".join(parts[x["line"]].split()))
+                size += len(words[-1])
+            if size >= core.CHUNK:
+                yield out()
+                seq, words, size = [], [], 0
+    if seq:
+        yield out()
 
 
 def _wider(grow: int):
