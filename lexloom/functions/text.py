@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,11 +13,22 @@ from lexloom.functions import rules as R
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+#: What a word edge stands before, or after, in patterns where one side is always a word character.
+_BEFORE = re.compile(r"\\b(?=\(?\\d|\((?:\?:)?[A-Za-z]|\[A-Z\]|\[6-9\]|[A-Za-z])")
+_AFTER = re.compile(r"(?<=[a-z)}\]])\\b")
+
+
+def _edges(pattern: str) -> str:
+    """ASCII word edges, one look-around each where the other side is known."""
+    out = _BEFORE.sub(r"(?<![A-Za-z0-9_])", pattern)
+    return (out if "@" in pattern else _AFTER.sub(r"(?![A-Za-z0-9_])", out)).replace(r"\b", _EDGE)
+
+
 def java(pattern: str) -> str:
     """A rule's pattern for Java: ASCII word edges, the rules' white space, LF as the only line end."""
     flags, _, rest = pattern.partition(")") if pattern.startswith("(?") and pattern[2] in "im" else ("", "", pattern)
     flags = flags and flags + ("d)" if "m" in flags else ")")
-    return flags + rest.replace(r"\b", _EDGE).replace(r"[\s-]", f"[{R.WS}-]").replace(r"\s", f"[{R.WS}]")
+    return flags + _edges(rest).replace(r"[\s-]", f"[{R.WS}-]").replace(r"\s", f"[{R.WS}]")
 
 
 def trim(c: Column) -> Column:
@@ -47,8 +59,7 @@ def dedupe_key(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of two letters or digits on, stop words left out."""
-    stop = F.array(*map(F.lit, R.STOPWORDS))
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(*R.STOPWORDS))
 
 
 def singular(c: Column) -> Column:
@@ -66,13 +77,13 @@ SUFFIX = f"^(.{{{R.MIN_STEM},}}?)(?:{'|'.join(R.SUFFIXES)})$"
 
 def stem(c: Column) -> Column:
     """Singular, then one suffix after another, the longest that leaves a stem first."""
-    return functools.reduce(lambda x, _: F.regexp_replace(x, SUFFIX, "$1"), R.SUFFIXES, singular(c))
+    one = singular(c)
+    # Most words have no suffix and need one look.
+    return F.when(one.rlike(SUFFIX), functools.reduce(lambda x, _: F.regexp_replace(x, SUFFIX, "$1"), R.SUFFIXES, one)).otherwise(one)
 
 
 def stem_word(word: str) -> str:
     """The same rules for a word of a constant table."""
-    import re
-
     if word.endswith("ies") and len(word) > 4:
         word = word[:-3] + "y"
     elif re.search("(?:ss|sh|ch|x|z)es$", word):

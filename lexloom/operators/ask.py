@@ -16,7 +16,10 @@ def grounded_answers(replies: DataFrame, consulted: DataFrame, keys: list[str])
     The cited clause is tried first, then the others by rank; the first in which the quote, or a run of its sentences, verifies is the citation.
     """
     rows = replies.withColumn("_r", F.from_json(object_text(F.col("reply")), ANSWER))
-    rows = rows.select(*keys, F.col("_r.answered").isin("yes", "true").alias("claimed"), T.capped(F.col("_r.answer"), 1200).alias("answer"), T.capped(F.col("_r.quote"), 800).alias("quote"), F.expr("try_cast(_r.clauseIndex as int)").alias("cited"))
+    # The word counts as yes, the boolean as true; the word true does not.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(object_text(F.col("reply"))), "$.answered", "variant"))
+    claimed = (F.col("_r.answered") == "yes") | (F.col("_r.answered") == "true") & (kind == "BOOLEAN")
+    rows = rows.select(*keys, F.coalesce(claimed, F.lit(False)).alias("claimed"), T.capped(F.col("_r.answer"), 1200).alias("answer"), T.capped(F.col("_r.quote"), 800).alias("quote"), F.expr("try_cast(_r.clauseIndex as int)").alias("cited"))
     tried = rows.where("claimed and quote <> ''").join(consulted, keys)
     found = salvaged(tried.select(*keys, "idx", "quote", "text"), [*keys, "idx"], "quote", "text").where("salvaged <> ''")
     found = found.join(tried.select(*keys, "idx", "rank", "cited"), [*keys, "idx"])
@@ -26,6 +29,6 @@ def grounded_answers(replies: DataFrame, consulted: DataFrame, keys: list[str])
 
 
 def best_of(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Of two providers' grounded answers the first that stands; else the first that is there."""
+    """Of two providers' grounded answers the first that stands; else the first honest no, whose answer is kept; else the first that is there."""
     both = first.withColumn("o", F.lit(0)).unionByName(second.withColumn("o", F.lit(1)))
-    return ranked_first(both, keys, F.when(F.col("answered"), 0).otherwise(1), F.col("o")).drop("o")
+    return ranked_first(both, keys, F.when(F.col("answered"), 0).when(F.col("answer") != "", 1).otherwise(2), F.col("o")).drop("o")

@@ -9,6 +9,10 @@ from lexloom.functions import rules as R
 from lexloom.functions import text as T
 
 
+#: What every match of a kind holds.
+NEEDS = {"EMAIL": "@", "PAN": "[0-9]{4}[A-Z]", "IFSC": "[A-Z]{4}0", "PHONE": "[6-9][0-9]{9}", "ACCOUNT": "[0-9]{9}"}
+
+
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces ``text`` and adds a count for each kind, n_<kind>, in the order of the rules."""
     found = F.regexp_extract_all(F.col(text), F.lit(T.java(R.CHECKED_ID)), F.lit(0))
@@ -18,7 +22,11 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     fold = F.aggregate(F.array_distinct("_ids"), F.col(text), lambda t, x: F.regexp_replace(t, F.concat(F.lit("(?<![A-Za-z0-9_])\\Q"), x, F.lit("\\E(?![A-Za-z0-9_])")), F.lit("[REDACTED:AADHAAR]")))
     docs = docs.withColumn("n_aadhaar", F.size("_ids").cast("long")).withColumn(text, F.when(F.size("_ids") > 0, fold).otherwise(F.col(text))).drop("_ids")
     for kind, pattern in R.REDACTIONS:
-        docs = docs.withColumn(f"n_{kind.lower()}", F.regexp_count(F.col(text), F.lit(T.java(pattern))).cast("long")).withColumn(text, F.regexp_replace(text, T.java(pattern), f"[REDACTED:{kind}]"))
+        # A cheap look first: most texts hold nothing that the pattern could match.
+        may = F.col(text).contains(NEEDS[kind]) if len(NEEDS[kind]) == 1 else F.col(text).rlike(NEEDS[kind])
+        docs = docs.withColumn("_may", F.coalesce(may, F.lit(False)))
+        docs = docs.withColumn(f"n_{kind.lower()}", F.when(F.col(text).isNull(), None).when(F.col("_may"), F.regexp_count(F.col(text), F.lit(T.java(pattern)))).otherwise(0).cast("long"))
+        docs = docs.withColumn(text, F.when(F.col("_may"), F.regexp_replace(text, T.java(pattern), f"[REDACTED:{kind}]")).otherwise(F.col(text))).drop("_may")
     return docs
 
 

@@ -18,7 +18,13 @@ DIFFERENCE = "struct<heading:string,summary:string,direction:string,quoteA:strin
 
 
 def object_text(reply: Column) -> Column:
-    """The JSON object in a reply: itself without code fences, else from the first brace to the last; null if neither parses."""
+    """The JSON object in a reply, or in the ``response`` that it wraps."""
+    outer = _object_in(reply)
+    return F.coalesce(_object_in(F.get_json_object(outer, "$.response")), outer)
+
+
+def _object_in(reply: Column) -> Column:
+    """A reply without code fences, else from the first brace to the last; null if neither parses."""
     bare = F.regexp_replace(F.regexp_replace(T.trim(reply), f"(?i)^```(?:json)?[{R.WS}]*", ""), f"[{R.WS}]*```$", "")
     is_json = F.try_parse_json(bare).isNotNull()
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
@@ -46,6 +52,41 @@ def analyses(rows: DataFrame, reply: str = "reply", text: str = "text") -> DataF
     return rows.drop("_r")
 
 
+def first_parsed(rows: DataFrame, replies: dict[str, str], out: str = "reply") -> DataFrame:
+    """The first reply, in the order given, that holds an object: ``out`` and ``source``, the name it came under, or nulls and none."""
+    texts = {name: object_text(F.col(column)) for name, column in replies.items()}
+    source = F.coalesce(*(F.when(F.col(f"_{name}").isNotNull(), F.lit(name)) for name in texts), F.lit("none"))
+    rows = rows.withColumns({f"_{name}": x for name, x in texts.items()})
+    return rows.withColumn("source", source).withColumn(out, F.coalesce(*(F.col(f"_{name}") for name in texts))).drop(*(f"_{name}" for name in texts))
+
+
+#: What stands where no provider gave a readable reply, in this package's words.
+NO_REPLY = {"heading": "Not analysed", "plain": "No reply could be read for this clause."}
+
+
+def analysed(rows: DataFrame, replies: dict[str, str], text: str = "text") -> DataFrame:
+    """``analyses`` of the first readable of several replies (cache, provider, second provider); a placeholder where none is.
+
+    ``keep`` tells what may be written to the cache: grounded replies that did not come from it.
+    """
+    rows = analyses(first_parsed(rows, replies), "reply", text)
+    for name, words in NO_REPLY.items():
+        rows = rows.withColumn(name, F.when(F.col("source") == "none", words).otherwise(F.col(name)))
+    return rows.withColumn("keep", F.col("grounded") & ~F.col("source").isin("cache", "none"))
+
+
+def explained(rows: DataFrame, replies: dict[str, str]) -> DataFrame:
+    """``difference`` of the first readable of several replies; a placeholder where none is."""
+    rows = difference(first_parsed(rows, replies), "reply")
+    return rows.withColumn("heading", F.when(F.col("source") == "none", NO_REPLY["heading"]).otherwise(F.col("heading")))
+
+
+def run_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, clauses, cache_hits, model_calls, fallback_calls) of rows (keys, source); a clause without a reply has asked the first model."""
+    n = lambda *names: F.count_if(F.col("source").isin(*names))
+    return rows.groupBy(*keys).agg(F.count("*").alias("clauses"), n("cache").alias("cache_hits"), n("primary", "none").alias("model_calls"), n("fallback").alias("fallback_calls"))
+
+
 def difference(rows: DataFrame, reply: str = "reply") -> DataFrame:
     """Validated difference columns for rows (kind, text_a, text_b, reply): both sides must verify for a direction to count."""
     rows = rows.withColumn("_r", F.from_json(object_text(F.col(reply)), DIFFERENCE))
@@ -62,8 +103,12 @@ def difference(rows: DataFrame, reply: str = "reply") -> DataFrame:
     }).drop("_r")
 
 
-def provided(rows: DataFrame, provider: Callable[[list[str]], list[str | None]], prompt: str, out: str = "reply", pool: int = 10) -> DataFrame:
-    """Adds a provider's replies to prompts, ``pool`` calls at a time in each task; a failed call leaves a null."""
+def provided(rows: DataFrame, provider: Callable[..., list[str | None]], prompt: str, out: str = "reply", pool: int = 10, task: str | None = None) -> DataFrame:
+    """Adds a provider's replies to prompts, ``pool`` calls at a time in each task; a failed call leaves a null.
+
+    With a task, the provider is told its most tokens and its temperature.
+    """
+    settings = {} if task is None else dict(zip(("max_tokens", "temperature"), R.MODEL[task], strict=True))
     schema = rows.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +116,7 @@ def provided(rows: DataFrame, provider: Callable[[list[str]], list[str | None]],
 
         def ask(text: str) -> str | None:
             try:
-                return provider([text])[0]
+                return provider([text], **settings)[0]
             except Exception:
                 return None
 

@@ -102,6 +102,20 @@ def verdict_sentence(favours: Column, differences: Column) -> Column:
     return F.when(favours == "a", VERDICTS["a"]).when(favours == "b", VERDICTS["b"]).when(differences == 0, VERDICTS["same"]).otherwise(VERDICTS["open"])
 
 
+#: Words for display, in this package's wording.
+RISK_WORDS = {"high": "serious", "medium": "worth a question", "low": "minor", "info": "for information"}
+DIRECTION_WORDS = {"better-for-you": "better for you", "worse-for-you": "worse for you", "no-material-change": "no real change"}
+
+
+def shown_as(value: Column, words: dict[str, str]) -> Column:
+    return F.coalesce(*(F.when(value == k, F.lit(w)) for k, w in words.items()), value)
+
+
+def clause_name(label: Column, idx: Column) -> Column:
+    """A clause's own label, else its place counted from 1."""
+    return F.coalesce(label, (idx + 1).cast("string"))
+
+
 def difference_order(differences: DataFrame, key: str) -> DataFrame:
     rank = F.when(F.col("direction") == "worse-for-you", 0).when(F.col("direction") == "better-for-you", 1).otherwise(2)
     return differences.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(rank, F.coalesce("idx_a", "idx_b"), "kind", "idx_b")))

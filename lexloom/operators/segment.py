@@ -29,7 +29,8 @@ def markers(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def spans(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, pos, label, body, start): pieces from marker to marker, or paragraphs where a text has less than two markers."""
-    docs = docs.select(*keys, F.col(text).alias("_t")).withColumn("_f", family(F.col("_t")))
+    # The character that marks cuts is put aside, where a text has it, and put back in the pieces.
+    docs = docs.select(*keys, F.translate(text, "\x01", "\uffff").alias("_t")).withColumn("_f", family(F.col("_t")))
     marked, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (name, p) in enumerate(R.MARKERS):
         flags, _, rest = T.java(p).partition(")")
@@ -38,7 +39,7 @@ def spans(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         label = F.when(F.col("_f") == n, head).otherwise(label)
     docs = docs.withColumn("_m", marked)
     parts = F.when(F.col("_m").isNotNull(), F.split("_m", "\x01", -1)).otherwise(F.split(F.regexp_replace("_t", "\n\n+", "\x01$0"), "\x01", -1))
-    rows = docs.select(*keys, "_f", F.col("_m").isNotNull().alias("numbered"), F.posexplode(parts).alias("pos", "raw"))
+    rows = docs.select(*keys, "_f", F.col("_m").isNotNull().alias("numbered"), F.posexplode(parts).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\uffff", "\x01"))
     order = Window.partitionBy(*keys).orderBy("pos")
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # A paragraph starts after the line ends before it; a preamble must be longer than the shortest clause.
