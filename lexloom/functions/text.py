@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def java(pattern: str) -> str:
     return flags + _edges(rest).replace(r"[\s-]", f"[{R.WS}-]").replace(r"\s", f"[{R.WS}]")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{R.WS}]+|[{R.WS}]+$", "")
 

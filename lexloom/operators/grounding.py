@@ -18,18 +18,18 @@ def fragments(quote: Column) -> Column:
 
 def verified(quote: Column, source: Column) -> Column:
     """Whether the quote's fragments stand in the source, one after the other; short ones count only alone."""
-    parts = fragments(quote)
-    text = T.folded(source)
-    # A fold over fragments: most quotes are one, so the source is folded once.
     zero = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit(0).alias("n"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column, parts: Column, text: Column) -> Column:
         place = F.position(x, text, a["at"])
         skip = (F.length(x) < R.MIN_FRAGMENT) & (F.size(parts) > 1)
         hit = (place > 0) & (F.length(x) > 0)
         return F.when(skip | ~a["ok"], a).otherwise(F.struct(F.when(hit, place + F.length(x)).otherwise(a["at"]).alias("at"), hit.alias("ok"), (a["n"] + hit.cast("int")).alias("n")))
 
-    return F.coalesce(F.aggregate(parts, zero, step, lambda a: a["ok"] & (a["n"] > 0)), F.lit(False))
+    def held(parts: Column, text: Column) -> Column:
+        return F.aggregate(parts, zero, lambda a, x: step(a, x, parts, text), lambda a: a["ok"] & (a["n"] > 0))
+
+    return F.coalesce(T.let(T.folded(source), lambda text: T.let(fragments(quote), lambda parts: held(parts, text))), F.lit(False))
 
 
 def spans(rows: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:

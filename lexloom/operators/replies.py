@@ -19,17 +19,15 @@ DIFFERENCE = "struct<heading:string,summary:string,direction:string,quoteA:strin
 
 def object_text(reply: Column) -> Column:
     """The JSON object in a reply, or in the ``response`` that it wraps."""
-    outer = _object_in(reply)
-    return F.coalesce(_object_in(F.get_json_object(outer, "$.response")), outer)
+    inner = lambda x: F.when(x.contains('"response"'), F.coalesce(_object_in(F.get_json_object(x, "$.response")), x)).otherwise(x)
+    return T.let(_object_in(reply), inner)
 
 
 def _object_in(reply: Column) -> Column:
     """A reply without code fences, else from the first brace to the last; null if neither parses."""
     bare = F.regexp_replace(F.regexp_replace(T.trim(reply), f"(?i)^```(?:json)?[{R.WS}]*", ""), f"[{R.WS}]*```$", "")
-    is_json = F.try_parse_json(bare).isNotNull()
-    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    whole = F.when(bare.startswith("{"), bare)
-    return F.when(is_json, whole).when(F.try_parse_json(inner).isNotNull(), inner)
+    between = lambda x: T.let(F.regexp_extract(x, r"(?s)\{.*\}", 0), lambda y: F.when(F.try_parse_json(y).isNotNull(), y))
+    return T.let(bare, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.when(x.startswith("{"), x)).otherwise(between(x)))
 
 
 def analyses(rows: DataFrame, reply: str = "reply", text: str = "text") -> DataFrame:
