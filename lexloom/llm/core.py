@@ -8,6 +8,7 @@ a worker holds a few arrays over about ``CHUNK`` bytes (or over one longer text)
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -77,11 +78,12 @@ def buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column; nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if col.null_count:
-        col = col.fill_null("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     big = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, offs, data = col.buffers()
     offs = np.frombuffer(offs, np.int64 if big else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    if col.null_count and np.diff(offs)[col.is_null().to_numpy(zero_copy_only=False)].any():
+        # Spark writes nulls without bytes; others need not.
+        return buffers(col.fill_null("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b""))
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
@@ -220,12 +222,19 @@ def shown(*columns: str) -> list[Column]:
     return [F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in columns]
 
 
+def release() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package at hand on every executor; workers, which live on, give unused memory back."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        release()
 
     ship(df.sparkSession)
     return df.mapInArrow(task, schema)

@@ -46,7 +46,7 @@ LAGS = 48
 BUCKET = 1 << 22
 GATHER = 1 << 23
 #: Pairs looked at together.
-CELLS = 1 << 18
+CELLS = 1 << 16
 #: By how much the candidates of a round grow, and how much wider bitmaps are from the third round on.
 GROW = 128
 WIDER = 16
