@@ -55,7 +55,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("sequences", sequences)]
 
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the stages; the operators of line dedup, Jaccard join and packing are tested against brute force, the stages for what they keep.
 ORACLE_SQL = None
 
 
