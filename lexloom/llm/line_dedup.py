@@ -136,7 +136,7 @@ def _lines(table, threshold: float, block: int):
                 if not len(code):
                     continue
                 kind = classes[(code & np.uint64(RARITY - 1)).astype(np.int64)]
-                order = np.argsort((line.astype(np.uint64) << np.uint64(32)) | (kind.astype(np.uint64) << np.uint64(24)) | (code >> np.uint64(40)), kind="stable")
+                order = np.argsort((line.astype(np.uint64) << np.uint64(32)) | (kind.astype(np.uint64) << np.uint64(24)) | (code >> np.uint64(40)))
                 code, line = code[order], line[order]
                 # Equal words of a line are neighbours, but for words that agree in class and leading bits; these are sorted fully.
                 tie = np.flatnonzero((line[1:] == line[:-1]) & (code[1:] >> np.uint64(40) == code[:-1] >> np.uint64(40)) & (code[1:] != code[:-1]))
@@ -154,14 +154,13 @@ def _lines(table, threshold: float, block: int):
                 take = prefix_length(n, threshold)
                 where = np.repeat(first - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(take.sum())
                 lists = _binary(code[where], np.concatenate([[0], np.cumsum(take)]))
-                # Only tokens this frequent can be in the prefixes of more sets than a block holds.
+                # Only tokens this frequent can be in the prefixes of more sets than a block holds; they end a prefix.
                 often = classes[(code[where] & np.uint64(RARITY - 1)).astype(np.int64)] + 1 >= 8 * np.log2(block + 1.0)
-                bound = np.concatenate([[0], np.cumsum(often)])[np.concatenate([[0], np.cumsum(take)])]
-                common = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(code[where][often].view(np.int64)))
+                common = np.add.reduceat(often, np.cumsum(take) - take, dtype=np.int32)
                 head = np.searchsorted(row, row[own])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[at + row[own]], pa.int64()), pa.array(part[at + row[own]], pa.int64()), pa.array((own - head).astype(np.int32)),
-                    pa.array(n.astype(np.int32)), _binary(*bitmaps(code, first, n)), lists, common,
+                    pa.array(n.astype(np.int32)), _binary(*bitmaps(code, first, n)), lists, pa.array(common),
                 ], names=["k1", "k2", "doc_id", "part", "line", "n", "bits", "prefix", "common"])
 
     return run
@@ -234,6 +233,14 @@ def _rows_of(keys):
     return run
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets (prefix, common) -> the frequent tokens, which end the prefixes."""
+    for batch in batches:
+        token, start, size = _bits_of(batch.column(0))
+        past = np.repeat(start + size - batch.column(1).to_numpy(), size)
+        yield pa.RecordBatch.from_arrays([pa.array(token[np.arange(len(token)) >= past].view(np.int64))], names=["key"])
+
+
 def _send_rows(buckets: int):
     """Entries (key, seq, size, at, side, asked, bits), row by row."""
 
@@ -442,20 +449,30 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Distinct token sets at their first lines, numbered in the order of these: seq, doc_id, part, line, n, bits, prefix, common."""
-    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold, block), "k1 long, k2 long, doc_id long, part long, line int, n int, bits binary, prefix binary, common array<long>")
+    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold, block), "k1 long, k2 long, doc_id long, part long, line int, n int, bits binary, prefix binary, common int")
     first = F.min(F.struct("doc_id", "part", "line", "n", "bits", "prefix", "common")).alias("first")
     sets = lines.groupBy("k1", "k2").agg(first).select("first.*")
     order = ("doc_id", "part", "line")
     return core.stored(sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()))
 
 
-def _entries(sets: DataFrame, block: int, keys=None) -> DataFrame:
-    """Each set once for every token of its prefix, or for every pair of blocks that its own is part of: key, seq, size, at, bits, side."""
+def _hot(sets: DataFrame, block: int) -> DataFrame:
+    """Tokens that more sets than a block holds have in their prefixes: key, blocks."""
+    keys = core.arrow(sets.select("prefix", "common"), _common, "key long")
+    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     # No more rows than entries by block; read from storage, so that its size is known when the join is planned.
-    hot = sets.select(F.explode("common").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    hot = core.stored(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    return core.stored(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+
+
+def _rows(sets: DataFrame, keys=None) -> DataFrame:
+    """Each set once for every token of its prefix: key, seq, size, at, bits."""
+    return core.arrow(sets.select("seq", "n", "bits", "prefix"), _rows_of(keys), "key long, seq long, size long, at long, bits binary")
+
+
+def _entries(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each set once for every token of its prefix, or for every pair of blocks that its own is part of: key, seq, size, at, bits, side."""
     columns = ("seq", "size", "at", "bits")
-    rows = core.arrow(sets.select("seq", "n", "bits", "prefix"), _rows_of(keys), "key long, seq long, size long, at long, bits binary")
+    rows = _rows(sets)
     own, other = F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.join(hot, "key").withColumn("own", own).withColumn("other", other)
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
@@ -486,13 +503,14 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
     # Sets of up to three words match equal ones only, which are collapsed already.
     large = sets.where(F.col("n") > F.floor(F.lit(threshold / (1 - threshold)) + F.lit(1e-9)) - 1)
     wide = F.greatest(F.lit(1.0), F.pow(2.0, F.ceil(F.log2(F.col("n") / (64 * LOAD)))))
-    volume, blocks = large.agg(F.sum((F.floor((1 - threshold) * F.col("n")) + 1) * 8 * (4 + wide)), F.count_if(F.size("common") > 0)).first()
+    volume, blocks = large.agg(F.sum((F.floor((1 - threshold) * F.col("n")) + 1) * 8 * (4 + wide)), F.count_if(F.col("common") > 0)).first()
     # Sets without tokens frequent enough to need blocks are sent as they are, the others as rows.
     n = max(1, int((volume or 0) // BUCKET))
-    plain, common = large.where(F.size("common") == 0), large.where(F.size("common") > 0)
+    plain, common = large.where("common = 0"), large.where("common > 0")
     sent = core.arrow(plain.select("seq", "n", "bits", "prefix"), _send_sets(n), ENTRIES)
     if blocks:
-        rows = _entries(common, block).withColumn("asked", F.lit(1))
+        hot = _hot(common, block)
+        rows = _entries(common, hot).withColumn("asked", F.lit(1))
         sent = sent.unionByName(core.arrow(rows.select(*ROW), _send_rows(n), ENTRIES))
     near = meet(sent, 0, 1)
     best = core.stored(near.groupBy("seq").agg(F.min(F.struct("apart", "to")).alias("best"), (F.max("more") | (F.min("to") < F.max("to"))).alias("more")).select("seq", "best.to", "more"))
@@ -505,9 +523,9 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
         if members is None:
             # Few keys are looked up by every worker.
             keys = docs.sparkSession.sparkContext.broadcast(np.sort(groups.toArrow().column(0).to_numpy()).tobytes()) if groups.count() <= FEW else None
-            members = _entries(plain, block, keys)
+            members = _rows(plain, keys).withColumn("side", F.lit(0))
             if blocks:
-                members = members.unionByName(_entries(common, block))
+                members = members.unionByName(_entries(common, hot))
         members = core.stored(members.join(groups, "key", "left_semi"))
         if until > GROW and bits is None:
             # These rank anew.
