@@ -3,7 +3,9 @@
 Labelled pages become transactions of URL tokens (host labels, path parts, query keys) and, for
 pages that are toxic or of low quality, a label item.  FP-growth mines frequent token
 combinations; rules that imply the label are kept from ``CONFIDENCE`` and ``SUPPORT`` on, and a
-rule counts only if at least ``LEAST`` labelled pages bear it out.  Rules are matched through an
+rule counts only if at least ``LEAST`` labelled pages bear it out.  Single tokens are counted by a
+plain aggregation, so that ``LEAST`` pages bear out a rule of one token however many pages are
+labelled; ``SUPPORT`` binds combinations only.  Rules are matched through an
 inverted index: each is listed under its rarest token, URLs look their tokens up there, and a
 listed rule fires if the URL has all its tokens.  Fixed (host, path) rules come before mined ones.
 
@@ -74,10 +76,13 @@ def mine(transactions: DataFrame, confidence: float = CONFIDENCE, support: float
         return none
     items = transactions.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / count["n"])), minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("n"))
     key = rules.withColumn("token", F.explode("antecedent")).join(single, "token").groupBy("antecedent", "confidence", "support").agg(F.min(F.struct("n", "token")).alias("rare"))
-    return core.stored(key.select("antecedent", "confidence", "support", F.col("rare.token").alias("key")))
+    seen = transactions.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    alone = seen.where((F.col("bad") >= least) & (F.col("bad") / F.col("n") >= confidence))
+    alone = alone.select(F.array("token").alias("antecedent"), (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / count["n"]).alias("support"), F.col("token").alias("key"))
+    return core.stored(key.select("antecedent", "confidence", "support", F.col("rare.token").alias("key")).unionByName(alone))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -132,6 +132,17 @@ def test_mined_rules_block(spark):
     assert got[1000].confidence == 1.0 and "bad-bets" in got[1000].why
 
 
+def test_rare_tokens_among_many_pages(spark):
+    rows = [(["host:rare", "path:p"], True)] * 10 + [(["host:few"], True)] * 9 + [(["host:mixed"], i < 12) for i in range(20)] + [(["host:x", "host:y", "path:p"], i % 3 > 0) for i in range(300)] + [(["path:p", f"path:{i}"], False) for i in range(400)]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = {tuple(r.antecedent): (round(r.confidence, 9), r.key) for r in url_rules.mine(df, confidence=0.65, support=0.1).collect()}
+    n = {t: sum(t in x for x, _ in rows) for t in ("host:x", "host:rare")}
+    assert n == {"host:x": 300, "host:rare": 10}
+    pairs = {("host:x", "host:y"), ("host:x", "path:p"), ("host:y", "path:p"), ("host:x", "host:y", "path:p")}
+    assert set(got) == pairs | {("host:rare",), ("host:x",), ("host:y",)}
+    assert got[("host:rare",)] == (1.0, "host:rare") and all(got[p][0] == round(200 / 300, 9) for p in pairs)
+
+
 # 3
 
 
