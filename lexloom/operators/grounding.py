@@ -71,6 +71,8 @@ def contained(quotes: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
     """(quote_id, doc_id, quote, source) pairs that share a quote's second run of words: the candidates for verification.
 
     Whole words inside a verbatim quote stand in the source too, so only pairs that meet in the index are compared.
+    Complete for quotes of five words or more without an elision among the second to fourth.  Shorter ones may be cut
+    inside these words, and are then found only where they stand as whole words; hold them against sources with ``verified``.
     """
 
     def with_grams(rows: DataFrame, text: str) -> DataFrame:
