@@ -30,7 +30,7 @@ def markers(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 def spans(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, pos, label, body, start): pieces from marker to marker, or paragraphs where a text has less than two markers."""
     # The character that marks cuts is put aside, where a text has it, and put back in the pieces.
-    docs = docs.select(*keys, F.translate(text, "\x01", "\uffff").alias("_t")).withColumn("_f", family(F.col("_t")))
+    docs = docs.select(*keys, F.when(F.col(text).contains("\x01"), F.translate(text, "\x01", "\uffff")).otherwise(F.col(text)).alias("_t")).withColumn("_f", family(F.col("_t")))
     marked, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (name, p) in enumerate(R.MARKERS):
         flags, _, rest = T.java(p).partition(")")
@@ -39,7 +39,7 @@ def spans(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         label = F.when(F.col("_f") == n, head).otherwise(label)
     docs = docs.withColumn("_m", marked)
     parts = F.when(F.col("_m").isNotNull(), F.split("_m", "\x01", -1)).otherwise(F.split(F.regexp_replace("_t", "\n\n+", "\x01$0"), "\x01", -1))
-    rows = docs.select(*keys, "_f", F.col("_m").isNotNull().alias("numbered"), F.posexplode(parts).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\uffff", "\x01"))
+    rows = docs.select(*keys, "_f", F.col("_m").isNotNull().alias("numbered"), F.posexplode_outer(parts).alias("pos", "raw")).where("pos is not null").withColumn("raw", F.when(F.col("raw").contains("\uffff"), F.translate("raw", "\uffff", "\x01")).otherwise(F.col("raw")))
     order = Window.partitionBy(*keys).orderBy("pos")
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # A paragraph starts after the line ends before it; a preamble must be longer than the shortest clause.
@@ -79,7 +79,7 @@ def packed(body: Column, start: Column, limit: int = R.MAX_CLAUSE) -> Column:
 def clauses(docs: DataFrame, keys: list[str], text: str = "text", limit: int = R.MAX_CLAUSES) -> DataFrame:
     """(keys, idx, label, text, start, end): the first ``limit`` clauses of each normalised text."""
     rows = merged(spans(docs, keys, text), keys).withColumn("start", F.col("start").cast("int"))
-    rows = rows.select(*keys, "part", "label", F.posexplode(packed(F.col("body"), F.col("start"))).alias("piece", "p"))
+    rows = rows.select(*keys, "part", "label", F.posexplode_outer(packed(F.col("body"), F.col("start"))).alias("piece", "p")).where("piece is not null")
     order = Window.partitionBy(*keys).orderBy("part", "piece")
     rows = rows.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < limit)
     return rows.select(*keys, "idx", F.when(F.col("piece") == 0, F.col("label")).alias("label"), F.col("p.text").alias("text"), F.col("p.start").alias("start"), (F.col("p.start") + F.length("p.text")).alias("end"))
