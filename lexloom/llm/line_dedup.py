@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 RARITY = 1 << 20
 #: Sets of a token that meet in one group, and group size up to which groups are compared side by side.
 BLOCK = 1 << 15
-LAGS = 48
+LAGS = 1 << 10
 #: Bytes of index entries that are compared by a worker at a time, and that are gathered before they are sent.
 BUCKET = 1 << 22
 GATHER = 1 << 23
@@ -72,7 +72,7 @@ def _tokens(buf: np.ndarray, offs: np.ndarray):
     begin, row = begin[order], row[order]
     full = np.flatnonzero(np.concatenate([begin[1:] != begin[:-1], [True]])) if len(begin) else rows
     # Of lines that begin at one place all but the last are empty.
-    return begin, row, code, full[np.searchsorted(begin[full], start, "right") - 1] if len(begin) else rows
+    return begin, row, code, np.repeat(full, np.diff(np.searchsorted(start, np.append(begin[full], len(buf))))) if len(begin) else rows
 
 
 def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +136,17 @@ def _lines(table, threshold: float, block: int):
                 if not len(code):
                     continue
                 kind = classes[(code & np.uint64(RARITY - 1)).astype(np.int64)]
-                order = np.argsort((line.astype(np.uint64) << np.uint64(32)) | (kind.astype(np.uint64) << np.uint64(24)) | (code >> np.uint64(40)))
-                code, line = code[order], line[order]
+                # Sorted by line, class, leading bits and place, in one number.
+                low, high = len(code).bit_length(), max(1, int(line[-1]).bit_length())
+                left = 56 - low - high
+                if left > 0:
+                    packed = (line.astype(np.uint64) << np.uint64(64 - high)) | (kind.astype(np.uint64) << np.uint64(56 - high)) | (code >> np.uint64(64 - left) << np.uint64(low)) | np.arange(len(code), dtype=np.uint64)
+                    packed.sort()
+                    order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+                    code, line, kind, packed = code[order], line[order], kind[order], packed >> np.uint64(low)
                 # Equal words of a line are neighbours, but for words that agree in class and leading bits; these are sorted fully.
-                tie = np.flatnonzero((line[1:] == line[:-1]) & (code[1:] >> np.uint64(40) == code[:-1] >> np.uint64(40)) & (code[1:] != code[:-1]))
-                if len(tie):
-                    order = np.lexsort([code, code >> np.uint64(40), classes[(code & np.uint64(RARITY - 1)).astype(np.int64)], line])
+                if left <= 0 or ((packed[1:] == packed[:-1]) & (code[1:] != code[:-1])).any():
+                    order = np.lexsort([code, kind, line])
                     code, line = code[order], line[order]
                 fresh = np.ones(len(code), bool)
                 fresh[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
@@ -256,25 +261,30 @@ class _Bitmaps:
     """Bitmaps of different widths; two are compared at the width of the narrower one."""
 
     def __init__(self, flat: np.ndarray, first: np.ndarray, wide: np.ndarray):
-        self.flat, self.first, self.wide = flat, first, wide
+        self.flat, self.first, self.wide, self.wides = flat, first, wide, np.unique(wide).tolist()
 
     def _rows(self, which: np.ndarray, wide: int) -> np.ndarray:
-        out = self.flat[self.first[which][:, None] + np.arange(wide)]
+        first, more = self.first[which], np.flatnonzero(self.wide[which] > wide)
         # Of sets that pass the length filter, one bitmap is at most twice as wide.
-        more = np.flatnonzero(self.wide[which] > wide)
-        out[more] ^= self.flat[self.first[which[more]][:, None] + np.arange(wide, 2 * wide)]
+        if wide == 1:
+            out = self.flat[first]
+            out[more] ^= self.flat[first[more] + 1]
+            return out[:, None]
+        out = self.flat[first[:, None] + np.arange(wide)]
+        out[more] ^= self.flat[first[more][:, None] + np.arange(wide, 2 * wide)]
         return out
 
     def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing bits of the pairs (x, y)."""
         out = np.zeros(len(x), np.int64)
         both = np.minimum(self.wide[x], self.wide[y])
-        for wide in np.unique(both).tolist():
+        for wide in self.wides:
             which = np.flatnonzero(both == wide)
             step = max(1, CELLS // wide)
             for s in range(0, len(which), step):
                 part = which[s : s + step]
-                out[part] = np.bitwise_count(self._rows(x[part], wide) ^ self._rows(y[part], wide)).sum(1)
+                bits = np.bitwise_count(self._rows(x[part], wide) ^ self._rows(y[part], wide))
+                out[part] = bits[:, 0] if wide == 1 else bits.sum(1)
         return out
 
 
@@ -292,7 +302,10 @@ def _meetings(threshold: float, since: int, until: int):
 
     def solve(held: list[tuple]) -> pa.RecordBatch | None:
         key, seq, shape, wide, flat = (np.frombuffer(b"".join(h[c] for h in held), np.uint64 if c == 4 else np.int64) for c in range(5))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        # Groups by length, so that each set is held against a range.
+        group = np.cumsum(np.concatenate([[0], key[order[1:]] != key[order[:-1]]]))
+        order = order[np.argsort(group << 32 | shape[order] >> 32)]
         start = np.concatenate([[0], np.cumsum(wide)[:-1]])
         key, seq, shape = key[order], seq[order], shape[order]
         bits = _Bitmaps(flat, start[order], wide[order])
@@ -300,9 +313,13 @@ def _meetings(threshold: float, since: int, until: int):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         inner = np.arange(len(key)) - np.repeat(first, size)
+        length, rest, low, share = n.astype(float), (n - at).astype(float), threshold * n - 1e-9, threshold / (1 + threshold)
+        # Mostly every set is asked and no group is part of another.
+        all_asked, whole = asked.all(), not side.any()
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = np.zeros(len(key), np.int64)
-        rows = 0
+        rows = pairs = 0
 
         def nearest() -> tuple[np.ndarray, ...]:
             later, earlier, apart = (np.concatenate([h[c] for h in found]) if found else np.zeros(0, np.int64) for c in range(3))
@@ -314,14 +331,28 @@ def _meetings(threshold: float, since: int, until: int):
             return later[keep], earlier[keep], apart[keep], rank[keep]
 
         def add(x: np.ndarray, y: np.ndarray) -> None:
-            """Pairs that pass the other filters, in any order."""
-            nonlocal found, rows
-            # Blocks are compared with each other only in the group of both.
-            ok = (seq[x] != seq[y]) & ((side[x] == 0) | (side[x] != side[y]))
-            x, y = x[ok], y[ok]
-            later, earlier = np.where(seq[x] > seq[y], x, y), np.where(seq[x] > seq[y], y, x)
-            ok = asked[later]
-            later, earlier = later[ok], earlier[ok]
+            """Pairs that pass the other filters, in any order; some are gathered before they are looked at."""
+            nonlocal waiting, pairs
+            waiting.append((x, y))
+            pairs += len(x)
+            if pairs > CELLS:
+                look()
+
+        def look() -> None:
+            nonlocal waiting, pairs, found, rows
+            if not pairs:
+                return
+            x, y = (np.concatenate([w[c] for w in waiting]) for c in range(2))
+            waiting, pairs = [], 0
+            if not whole:
+                # Blocks are compared with each other only in the group of both.
+                ok = (seq[x] != seq[y]) & ((side[x] == 0) | (side[x] != side[y]))
+                x, y = x[ok], y[ok]
+            after = seq[x] > seq[y]
+            later, earlier = np.where(after, x, y), np.where(after, y, x)
+            if not all_asked:
+                ok = asked[later]
+                later, earlier = later[ok], earlier[ok]
             both = n[later] + n[earlier]
             apart = bits.distance(later, earlier)
             ok = apart <= both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
@@ -333,27 +364,27 @@ def _meetings(threshold: float, since: int, until: int):
                 found = [nearest()[:3]]
                 rows = len(found[0][0])
 
-        wide = np.repeat(size, size) > LAGS
-        live = np.flatnonzero(~wide & (inner > 0))
+        live = np.flatnonzero((np.repeat(size, size) <= LAGS) & (inner > 0))
         lag = 1
         while len(live):
             y = live - lag
-            hit = _may_match(n[live], n[y], at[live], at[y], threshold)
+            # A set that is too short leaves only shorter ones.
+            fits = length[y] >= low[live]
+            live, y = live[fits], y[fits]
+            need = share * (length[live] + length[y]) - 1e-9
+            hit = (rest[live] >= need) & (rest[y] >= need)
             add(live[hit], y[hit])
             lag += 1
             live = live[inner[live] >= lag]
         for f, c in zip(first[size > LAGS].tolist(), size[size > LAGS].tolist(), strict=True):
-            # By length, so that each set is held against a range.
-            by = f + np.argsort(n[f : f + c], kind="stable")
-            length = n[by]
             step = max(1, CELLS // c)
-            for s in range(0, c, step):
-                e = min(c, s + step)
-                low = int(np.searchsorted(length, threshold * length[s] - 1e-9))
-                x, y = by[s:e], by[low:e]
-                hit = (np.arange(low, e)[None, :] < np.arange(s, e)[:, None]) & _may_match(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :], threshold)
+            for s in range(f, f + c, step):
+                e = min(f + c, s + step)
+                x, y = np.arange(s, e), np.arange(f + int(np.searchsorted(length[f : f + c], low[s])), e)
+                hit = (y[None, :] < x[:, None]) & _may_match(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :], threshold)
                 a, b = np.nonzero(hit)
                 add(x[a], y[b])
+        look()
         later, earlier, apart, rank = nearest()
         keep = rank >= since
         later, earlier, apart = later[keep], earlier[keep], apart[keep]
@@ -487,8 +518,8 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
     def words(asked: DataFrame, few: bool) -> DataFrame:
         """(seq, words) of the first lines of sets."""
         by = places.join(asked, "seq").groupBy("doc_id", "part").agg(F.collect_list(F.struct("line", "seq")).alias("lines"))
-        # A list of few lines is read from storage, so that its size is known and texts may stay where they are.
-        by = core.stored(by) if few else by.hint("merge")
+        # Lists are much smaller than texts, which need not be sorted for them. A list of few lines is read from storage, so that its size is known and texts may stay where they are.
+        by = core.stored(by) if few else by.hint("shuffle_hash")
         # Repeated rows give the same words.
         return core.arrow(docs.select("doc_id", "part", "text").join(by, ["doc_id", "part"]).select("text", "lines"), _cut, "seq long, words binary").dropDuplicates(["seq"])
 
@@ -549,7 +580,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_
     table = docs.sparkSession.sparkContext.broadcast(rarity(rows))
     sets = first_lines(rows, table, threshold, block)
     kept = sets.select("seq", "doc_id", "part", "line").join(later_matches(rows, sets, threshold, block), "seq", "left_anti")
-    lists = kept.groupBy("doc_id", "part").agg(F.collect_list("line").alias("keep"))
+    lists = kept.groupBy("doc_id", "part").agg(F.collect_list("line").alias("keep")).hint("shuffle_hash")
     kept = rows.schema["kept"].dataType
     schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, text string").add("kept", kept)
     out = core.arrow(rows.join(lists, ["doc_id", "part"], "left").select("doc_id", "text", "keep", "kept"), _kept, schema)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,39 @@ def test_line_dedup_undecided_go_on(spark, monkeypatch, grow, block, few):
     assert got == want and 20 < sum(want.values()) < 160
 
 
+@pytest.mark.parametrize("lags", [None, 5])
+def test_line_dedup_groups_meet_together(monkeypatch, lags):
+    """Groups of some dozens are compared side by side, not one by one, and give what all pairs give."""
+    if lags:
+        monkeypatch.setattr(line_dedup, "LAGS", lags)
+    looks, distance = [], line_dedup._Bitmaps.distance
+    monkeypatch.setattr(line_dedup._Bitmaps, "distance", lambda self, x, y: looks.append(len(x)) or distance(self, x, y))
+    draw = np.random.default_rng(3)
+    rows = [(k, int(s), int(draw.integers(60, 120)), int(draw.integers(0, 20)), 0, int(draw.random() < 0.9)) for k in range(100) for s in draw.permutation(60)]
+    # Sets of more than 85 tokens have bitmaps of two words, which fold to one.
+    maps = [draw.integers(0, 2, (1 + (r[2] > 85), 64)) * (draw.random((1 + (r[2] > 85), 64)) < 0.2) for r in rows]
+    bits = [np.packbits(m.astype(np.uint8), axis=1, bitorder="little").tobytes() for m in maps]
+    want = []
+    for k in range(100):
+        own = range(60 * k, 60 * k + 60)
+        for x in own:
+            near = []
+            for y in own:
+                n, m = rows[x][2], rows[y][2]
+                if rows[y][1] < rows[x][1] and min(n, m) >= 0.8 * max(n, m) - 1e-9 and min(n - rows[x][3], m - rows[y][3]) >= 0.8 / 1.8 * (n + m) - 1e-9:
+                    both = [maps[x], maps[y]] if len(maps[x]) == len(maps[y]) else [z.sum(0) % 2 for z in (maps[x], maps[y])]
+                    apart = int((both[0] != both[1]).sum())
+                    if apart <= n + m - 2 * np.ceil(0.8 / 1.8 * (n + m) - 1e-9):
+                        near.append((apart, rows[y][1]))
+            if near and rows[x][5]:
+                want.append((k, rows[x][1], min(near)[1], min(near)[0], len(near) > 1))
+    batch = pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(6)), pa.array(bits, pa.binary())], names=list(line_dedup.ROW))
+    sent = line_dedup._send_rows(1)(iter([batch]))
+    got = [tuple(r.values()) for b in line_dedup._meetings(0.8, 0, 1)(sent) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and 1000 < len(want) < 5900
+    assert len(looks) < 20
+
+
 def test_line_dedup_shared_ids(spark):
     """Rows without ids or of one id lose only their own repeated lines."""
     draw = random.Random(9)
