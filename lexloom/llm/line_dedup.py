@@ -5,8 +5,9 @@ document id, then, where rows share it, the hash of the text, then line number)
 similarity of their token sets is at least the threshold, and every line that matches an earlier line is removed, judged on the input, not on
 what is left.  Lines without words never match.
 
-Equal token sets are collapsed to the first line that has them, and the sets are numbered in the
-order of these lines.  Tokens of a set are ordered by
+Documents are numbered in their order, by their ids where these tell them apart and lie within 32 bits.
+Equal token sets are collapsed to the first line that has them, and a set's number holds those of the document and of this line.
+Tokens of a set are ordered by
 rarity (a table of ``RARITY`` counters over all texts, ties by hash), and the sets that share a
 token of their prefixes meet under it; the sets of a token that has more than ``BLOCK`` of them meet in pairs of
 blocks, where only sets of different blocks are compared.  There, length, positional
@@ -58,6 +59,9 @@ LOAD = 4 / 3
 CHUNK = 1 << 17
 #: Counters of the rarity table that are summed together.
 SLOTS = 1 << 10
+#: Bits of a document's number, and of a line's number in it, which a text of 2 GB cannot exceed.
+DOCS = 32
+LINES = 31
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray):
@@ -115,10 +119,18 @@ def bitmaps(code: np.ndarray, first: np.ndarray, n: np.ndarray, grow: int = 1) -
     wide = grow << np.ceil(np.log2(np.maximum(1, n / (64 * LOAD)))).astype(np.int64)
     offs = np.concatenate([[0], np.cumsum(wide)])
     bit = core.mix(code)
-    own = np.repeat(np.arange(len(n)), n)
-    place = (bit & (wide[own] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    one = np.uint64(1) << (bit & np.uint64(63))
     flat = np.zeros(offs[-1], np.uint64)
-    np.bitwise_xor.at(flat, offs[own] + (place >> 6), np.uint64(1) << (bit & np.uint64(63)))
+    # Most are one word wide.
+    full = n > 0
+    flat[offs[:-1][full]] = np.bitwise_xor.reduceat(one, first[full]) if full.any() else 0
+    more = np.flatnonzero(wide > 1)
+    if len(more):
+        flat[np.repeat(offs[more] - np.concatenate([[0], np.cumsum(wide[more])[:-1]]), wide[more]) + np.arange(wide[more].sum())] = 0
+        own = np.repeat(more, n[more])
+        at = np.repeat(first[more] - np.concatenate([[0], np.cumsum(n[more])[:-1]]), n[more]) + np.arange(n[more].sum())
+        place = (bit[at] & (wide[own] * 64 - 1).astype(np.uint64)).astype(np.int64)
+        np.bitwise_xor.at(flat, offs[own] + (place >> 6), one[at])
     return flat, offs
 
 
@@ -130,7 +142,7 @@ def _lines(table, threshold: float, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            ids, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            docs = batch.column(0).to_numpy()
             for at, _, buf, offs in core.chunks(batch.column(1), CHUNK):
                 _, row, code, line = _tokens(buf, offs)
                 if not len(code):
@@ -164,9 +176,9 @@ def _lines(table, threshold: float, block: int):
                 common = np.add.reduceat(often, np.cumsum(take) - take, dtype=np.int32)
                 head = np.searchsorted(row, row[own])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[at + row[own]], pa.int64()), pa.array(part[at + row[own]], pa.int64()), pa.array((own - head).astype(np.int32)),
+                    pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(docs[at + row[own]] << LINES | own - head, pa.int64()),
                     pa.array(n.astype(np.int32)), _binary(*bitmaps(code, first, n)), lists, pa.array(common),
-                ], names=["k1", "k2", "doc_id", "part", "line", "n", "bits", "prefix", "common"])
+                ], names=["k1", "k2", "seq", "n", "bits", "prefix", "common"])
 
     return run
 
@@ -423,7 +435,7 @@ def _verified(threshold: float):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked lines of documents, as bytes: text, lines (line, seq) -> seq, words."""
+    """The asked lines of documents, as bytes: text, lines -> seq, words."""
     seq: list[int] = []
     words: list[bytes] = []
     size = 0
@@ -435,8 +447,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, asked in zip(batch.column(0), batch.column(1), strict=True):
             parts = (text.as_py() or "").encode().split(b"\n")
             for x in asked.as_py():
-                seq.append(x["seq"])
-                words.append(b" ".join(parts[x["line"]].split()))
+                seq.append(x)
+                words.append(b" ".join(parts[x & (1 << LINES) - 1].split()))
                 size += len(words[-1])
             if size >= core.CHUNK:
                 yield out()
@@ -478,13 +490,37 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*done.columns, part.column(3)], names=[*done.schema.names, "kept"])
 
 
+def _doc() -> Column:
+    """Number of a set's document."""
+    return F.shiftright("seq", LINES).alias("doc")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text and others) with ``doc``, below 2 ** DOCS: documents by id, then hash of the text; repeated rows share it."""
+    own = F.col("doc_id") != core.NO_ID
+    found = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min(F.when(own, F.col("doc_id"))), F.max(F.when(own, F.col("doc_id"))))
+    most, low, high = found.first()
+    if (most or 0) <= 1 and (low is None or high - low + 1 < 1 << DOCS):
+        return rows.withColumn("doc", F.when(own, F.col("doc_id") - F.lit(low or 0) + 1).otherwise(F.lit(0).cast("long")))
+    # Otherwise they are sorted and counted; texts meet their numbers once.
+    order = ("doc_id", "part")
+    rows = rows.withColumn("part", F.xxhash64("text"))
+    places = core.stored(rows.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    task = F.shiftright("at", 33)
+    before, starts = 0, []
+    for k, n in sorted(places.groupBy(task).count().collect()):
+        starts.append((k, before))
+        before += n
+    number = places.withColumn("task", task).join(F.broadcast(rows.sparkSession.createDataFrame(starts, "task long, start long")), "task")
+    number = number.select(*order, (F.col("start") + F.col("at") - F.shiftleft("task", 33)).alias("doc"))
+    return core.stored(rows.join(number.hint("shuffle_hash"), list(order)).drop("part"))
+
+
 def first_lines(docs: DataFrame, table, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Distinct token sets at their first lines, numbered in the order of these: seq, doc_id, part, line, n, bits, prefix, common."""
-    lines = core.arrow(docs.select("doc_id", "text", "part"), _lines(table, threshold, block), "k1 long, k2 long, doc_id long, part long, line int, n int, bits binary, prefix binary, common int")
-    first = F.min(F.struct("doc_id", "part", "line", "n", "bits", "prefix", "common")).alias("first")
-    sets = lines.groupBy("k1", "k2").agg(first).select("first.*")
-    order = ("doc_id", "part", "line")
-    return core.stored(sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()))
+    """Distinct token sets of documents (doc, text) at their first lines, numbered in the order of these: seq, n, bits, prefix, common."""
+    lines = core.arrow(docs.select("doc", "text"), _lines(table, threshold, block), "k1 long, k2 long, seq long, n int, bits binary, prefix binary, common int")
+    first = F.min(F.struct("seq", "n", "bits", "prefix", "common")).alias("first")
+    return core.stored(lines.groupBy("k1", "k2").agg(first).select("first.*"))
 
 
 def _hot(sets: DataFrame, block: int) -> DataFrame:
@@ -513,15 +549,14 @@ def _entries(sets: DataFrame, hot: DataFrame) -> DataFrame:
 
 def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(seq) of the sets that match a set that begins earlier."""
-    places = sets.select("seq", "doc_id", "part", "line")
 
     def words(asked: DataFrame, few: bool) -> DataFrame:
         """(seq, words) of the first lines of sets."""
-        by = places.join(asked, "seq").groupBy("doc_id", "part").agg(F.collect_list(F.struct("line", "seq")).alias("lines"))
+        by = asked.groupBy(_doc()).agg(F.collect_list("seq").alias("lines"))
         # Lists are much smaller than texts, which need not be sorted for them. A list of few lines is read from storage, so that its size is known and texts may stay where they are.
         by = core.stored(by) if few else by.hint("shuffle_hash")
         # Repeated rows give the same words.
-        return core.arrow(docs.select("doc_id", "part", "text").join(by, ["doc_id", "part"]).select("text", "lines"), _cut, "seq long, words binary").dropDuplicates(["seq"])
+        return core.arrow(docs.select("doc", "text").join(by, "doc").select("text", "lines"), _cut, "seq long, words binary").dropDuplicates(["seq"])
 
     def check(pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The later sets of those pairs (seq, to) that reach the threshold."""
@@ -547,7 +582,7 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
     best = core.stored(near.groupBy("seq").agg(F.min(F.struct("apart", "to")).alias("best"), (F.max("more") | (F.min("to") < F.max("to"))).alias("more")).select("seq", "best.to", "more"))
     settled = check(best, words(best.select("seq").union(best.select("to")).distinct(), False))
     open_ = core.stored(best.where("more").select("seq").join(settled, "seq", "left_anti"))
-    members, bits, since, until = None, None, 0, GROW
+    members, bits, held, since, until = None, None, None, 0, GROW
     while open_.limit(1).count():
         # After the first round, groups without more candidates are done with.
         groups = core.stored((near if members is None else near.where("more")).join(open_, "seq", "left_semi").select("key").distinct())
@@ -559,15 +594,16 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
                 members = members.unionByName(_entries(common, hot))
         members = core.stored(members.join(groups, "key", "left_semi"))
         if until > GROW and bits is None:
-            # These rank anew.
+            # These rank anew. Later rounds meet no other sets, so their words are read once.
             since = 0
-            bits = core.stored(core.arrow(words(members.select("seq").distinct(), True), _wider(WIDER), "seq long, bits binary"))
+            held = core.stored(words(members.select("seq").distinct(), True))
+            bits = core.stored(core.arrow(held, _wider(WIDER), "seq long, bits binary"))
         rows = members if bits is None else members.drop("bits").join(bits, "seq")
         rows = core.stored(rows.join(open_.withColumn("asked", F.lit(1)), "seq", "left").withColumn("asked", F.coalesce("asked", F.lit(0))).select(*ROW))
         volume = rows.agg(F.sum(32 + F.octet_length("bits"))).first()[0]
         near = meet(core.arrow(rows, _send_rows(max(1, volume // BUCKET)), ENTRIES), since, until)
         pairs = near.select("seq", "to").distinct()
-        found = check(pairs, words(pairs.select("seq").union(pairs.select("to")).distinct(), True))
+        found = check(pairs, words(pairs.select("seq").union(pairs.select("to")).distinct(), True) if held is None else held)
         settled = settled.unionByName(found)
         open_ = core.stored(near.where("more").select("seq").distinct().join(found, "seq", "left_anti"))
         since, until = until, until * GROW
@@ -576,14 +612,17 @@ def later_matches(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, the text of the lines that stay, and the columns of ``keep``."""
-    rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("part"), F.struct(F.lit(0), *keep).alias("kept"))
+    rows = docs.select(core.key(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     table = docs.sparkSession.sparkContext.broadcast(rarity(rows))
+    rows = numbered(rows)
     sets = first_lines(rows, table, threshold, block)
-    kept = sets.select("seq", "doc_id", "part", "line").join(later_matches(rows, sets, threshold, block), "seq", "left_anti")
-    lists = kept.groupBy("doc_id", "part").agg(F.collect_list("line").alias("keep")).hint("shuffle_hash")
+    found = sets.select("seq", F.lit(True).alias("stays")).unionByName(later_matches(rows, sets, threshold, block).select("seq", F.lit(False).alias("stays")))
+    line, stays = F.col("seq").bitwiseAND(F.lit((1 << LINES) - 1)).cast("int"), F.col("stays")
+    lists = found.groupBy(_doc()).agg(F.collect_list(F.when(stays, line)).alias("own"), F.collect_list(F.when(~stays, line)).alias("gone"))
+    lists = lists.select("doc", F.array_except("own", "gone").alias("keep")).hint("shuffle_hash")
     kept = rows.schema["kept"].dataType
     schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, text string").add("kept", kept)
-    out = core.arrow(rows.join(lists, ["doc_id", "part"], "left").select("doc_id", "text", "keep", "kept"), _kept, schema)
+    out = core.arrow(rows.join(lists, "doc", "left").select("doc_id", "text", "keep", "kept"), _kept, schema)
     return out.select(*core.shown("doc_id"), "n_lines", "n_removed", "text", *(F.col("kept")[c].alias(c) for c in keep))
 
 

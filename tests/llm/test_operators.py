@@ -226,6 +226,37 @@ def test_line_dedup_shared_ids(spark):
     assert got == Counter([(-5, 0, a), (None, 0, rows[1][1]), (None, 0, d), (3, 1, e), (3, 0, rows[4][1]), (3, 0, None), (4, 2, "")])
 
 
+@pytest.mark.parametrize("ids", [[7, -3, None, 12], [7, 7, -3, None, None], [1 << 62, -(1 << 62), 5], [-(1 << 63), 9, (1 << 32) + 7], [9, (1 << 32) + 8], []])
+def test_line_dedup_numbers(spark, ids):
+    """Sets are numbered by document and line, without sorting them; documents by id, by place where ids do not serve."""
+    texts = [f"own{k} a b c\n\nsecond{k} a b c" for k in range(len(ids))]
+    rows = spark.createDataFrame([*zip(ids, texts, strict=True), *zip(ids[1:2], texts[1:2], strict=True)] if len(set(ids)) < len(ids) else [*zip(ids, texts, strict=True)], "doc_id long, text string")
+    docs = line_dedup.numbered(rows.withColumn("doc_id", line_dedup.core.key("doc_id")).repartition(3))
+    part = F.xxhash64("text").alias("part")
+    got = docs.select("doc_id", part, "doc", "text").distinct().orderBy("doc_id", "part").collect()
+    number = [r.doc for r in got]
+    assert len(number) == len(ids) and all(x < y for x, y in zip(number, number[1:])) and all(0 <= x < 1 << 32 for x in number)
+    table = spark.sparkContext.broadcast(line_dedup.rarity(docs))
+    sets = line_dedup.first_lines(docs, table)
+    assert {r.seq for r in sets.collect()} == {r.doc << 31 | k for r in got for k in (0, 2)}
+
+
+def test_bitmaps_of_all_widths():
+    draw = np.random.default_rng(5)
+    n = np.array([0, 3, 90, 1, 0, 86, 85, 700, 2, 0])
+    code = draw.integers(0, 1 << 63, n.sum()).astype(np.uint64)
+    first = np.cumsum(n) - n
+    for grow in (1, 4):
+        flat, offs = line_dedup.bitmaps(code, first, n, grow)
+        assert np.diff(offs).tolist() == [grow * w for w in (1, 1, 2, 1, 1, 2, 1, 16, 1, 1)]
+        for k in range(len(n)):
+            want = [0] * int(offs[k + 1] - offs[k])
+            for x in core.mix(code[first[k] : first[k] + n[k]]).tolist():
+                place = x % (64 * len(want))
+                want[place >> 6] ^= 1 << (place & 63)
+            assert flat[offs[k] : offs[k + 1]].tolist() == want
+
+
 # 4
 
 
